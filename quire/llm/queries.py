@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, fingerprints, secret_scan
+from quire.llm import (
+    decontaminate,
+    fingerprints,
+    mixing,
+    secret_scan,
+    separator_scan,
+    simhash,
+    token_output,
+    toxicity,
+    url_filter,
+    warc,
+)
 from quire.llm.storage import scratch
-from quire.llm.textcols import text_or_empty
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +70,59 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of documents, counted in flat files by their separators."""
+    return separator_scan.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of documents, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    judged = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return judged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of sources by weight takes of each of documents."""
+    per_doc, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return per_doc.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text of documents, and its component of near-duplicates."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, from the archives they were written to."""
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text of documents, from the files they were written to."""
+    docs = table(spark, sf_dir, "documents")
+    files = token_output.write_tokens(docs, scratch(spark, "tokens"))
+    return token_output.read_tokens(files, docs.schema["doc_id"].dataType)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for every url of pages."""
+    about = url_filter.build_index(url_filter.default_list(spark), scratch(spark, "urls"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), about)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_separator_scan": op2_separator_scan,
     "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
+    "op9_token_output": op9_token_output,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {}

@@ -71,3 +71,93 @@ def contamination(docs: list[tuple], items: list[tuple], window: int = 10) -> li
                     ids |= got
         out.append({"doc_id": k, "n_words": len(w), "n_hit": len(hit), "n_items": len(ids), "items_sha256": sha(",".join(sorted(ids))), "contaminated": bool(hit)})
     return out
+
+
+def tokens(docs: list[tuple], tokenizer_path: str, stop: int) -> dict:
+    """doc_id to (start, n_tokens, crc32), by whole-text encoding."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tokenizer, start, out = Tokenizer.from_file(tokenizer_path), 0, {}
+    for k, text in sorted(docs):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, stop]
+        out[k] = (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    return out
+
+
+def simhash(text: str | None, width: int = 4) -> int:
+    import xxhash
+
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    runs = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(fps: dict, radius: int = 4) -> dict:
+    """doc_id to the least doc_id reachable."""
+    keys = sorted(fps)
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def warc_rows(pages: list[tuple], least: int = 0) -> dict:
+    import base64
+
+    groups: dict[bytes, list] = {}
+    for k, html in pages:
+        groups.setdefault((html or "").encode(), []).append(k)
+    out = {}
+    for body, ids in groups.items():
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        for k in ids:
+            first = max(ids) if len(body) >= least else k
+            out[k] = (len(body), digest, "response" if k == first else "revisit", None if k == first else first)
+    return out
+
+
+def url_verdict(url: str | None, rules, listed) -> tuple:
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(len(h + p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        _, _, rule, action = max(fits)
+        return host, path, rule, action
+    bad = any(host == h or host.endswith("." + h) for h in listed)
+    return host, path, None, "block" if bad else "allow"
+
+
+def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
+    """Water filling, one capped source at a time."""
+    capped: dict[int, float] = {}
+    while True:
+        rest = [i for i in range(len(sizes)) if i not in capped]
+        left = total - sum(capped.values())
+        heft = sum(weights[i] for i in rest)
+        over = [i for i in rest if left * weights[i] / heft > most * sizes[i] * (1 + 1e-12)]
+        if not over:
+            return [capped[i] if i in capped else left * weights[i] / heft for i in range(len(sizes))]
+        i = max(over, key=lambda i: weights[i] / max(sizes[i], 1e-9))
+        capped[i] = most * sizes[i]
