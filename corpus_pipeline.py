@@ -1,12 +1,50 @@
-"""The stages that turn documents into a training set."""
+"""The stages that turn documents into a training set.
+
+Each stage takes (spark, docs, sf_dir) and works on what the one before kept.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.storage import materialise
+from quire.llm import decontaminate, mixing, simhash, token_output, toxicity
+from quire.llm.storage import materialise, scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model doesn't find toxic."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and what they hold of each document."""
+    files = token_output.write_tokens(docs, scratch(spark, "tokens"))
+    return token_output.read_tokens(files, docs.schema["doc_id"].dataType)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
 #: The toxicity stage trains a model, which SQL can't express.
 ORACLE_SQL = None
 
