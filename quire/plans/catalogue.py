@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quire.plans import relational, rules, scalars, summaries
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for part in (relational, summaries, scalars, rules):
+    QUERIES |= part.REGISTRY.queries
+    ORACLE |= part.REGISTRY.oracle
