@@ -101,7 +101,7 @@ def build_index(keys: DataFrame, folder: str, shard_keys: int = SHARD_KEYS) -> d
 
 
 def _shard(shards: int):
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def of(host, path):
         return (host + "\n" + path).map(lambda k: xxhash.xxh64_intdigest(k.encode()) % shards).astype("int32")
 
