@@ -218,13 +218,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document cut short has its words joined by single spaces and its n_chars, if any, counted anew.
     """
     _, each = mix(docs, **options)
-    each = each.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sha").alias("_sha"), "words", "shard", "place").groupBy("_id", "_source", "_sha").agg(F.collect_list(F.struct("words", "shard", "place")).alias("_takes"))
+    each = each.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sha").alias("_sha"), "words", "shard", "place").groupBy("_id", "_source", "_sha").agg(F.collect_list(F.struct(F.col("words").alias("_words"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))).alias("_takes"))
     key = docs.select("*", F.sha2(text_or_empty(F.col("text")), 256).alias("_of")).dropDuplicates(["doc_id", "source", "_of"])
     met = key.join(each, key["doc_id"].eqNullSafe(each["_id"]) & (key["_of"] == each["_sha"]) & key["source"].eqNullSafe(each["_source"]))
     rows = met.select(*(key[c] for c in docs.columns), F.inline("_takes"))
     size = word_count(F.col("text"))
-    text = F.when(size > F.col("words"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text"))
+    text = F.when(size > F.col("_words"), first_words(F.col("text"), F.col("_words").cast("int"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+    return rows.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns)

@@ -125,4 +125,59 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+def _spans_sql() -> str:
+    parts = []
+    for rank, r in enumerate(secret_scan.BASE_RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
+              's': list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0), 'n': length(found[i]), 'v': length(vals[i])}})) AS m
+            FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS found, regexp_extract_all(t, '{p}', {r.group}) AS vals FROM d WHERE regexp_matches(t, '{p}'))"""
+        )
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secret_scan.BASE_RULES)
+    kept = f"SELECT doc_id, rank, kind, m.s AS s, m.s + m.n AS e FROM ({' UNION ALL '.join(parts)}) WHERE m.v >= CASE kind {least} END"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({kept}),
+    j AS (SELECT d.doc_id, {counts}, coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank), '') AS spans FROM d LEFT JOIN k USING (doc_id) GROUP BY 1)
+    SELECT *, sha256(spans) AS base_sha256 FROM j"""
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM i),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM d, sizes WHERE len(w) >= n),
+m AS (SELECT doc_id, p.n, pos, item_id FROM p JOIN i ON i.win = p.win AND i.n = p.n),
+h AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS spot FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM m GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, octet_length(encode(p.h)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || sha1(p.h)[1 + 5 * (i // 4):5 + 5 * (i // 4)] AS BIGINT) >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN g ON g.h = p.h"""
+
+
+def _urls_sql() -> str:
+    fits = lambda h: f"(host = '{h}' OR host LIKE '%.{h}')"
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h)} AND starts_with(path, '{p}') THEN '{h + p}'" for h, p, _ in rules)
+    verdict = " ".join(f"WHEN '{h + p}' THEN '{a}'" for h, p, a in rules)
+    listed = " OR ".join(map(fits, url_filter.LISTED))
+    return f"""SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN {listed} THEN 'block' ELSE 'allow' END END AS verdict FROM (
+      SELECT page_id, host, path, CASE {rule} END AS rule FROM (
+        SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages))"""
+
+
+#: Hashes by XXH64 (3, 7), tokenizers (2, 9), training (4) and random orders (6) are beyond SQL.
+ORACLE: dict[str, str] = {
+    "op1_secret_scan": _spans_sql(),
+    "op5_decontamination": _CONTAMINATION_SQL,
+    "op8_warc": _WARC_SQL,
+    "op10_url_filter": _urls_sql(),
+}

@@ -245,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` of ``docs`` with score, predicted and spans (start, end, p) of ``text``."""
+def score(docs: DataFrame, model: Model | None, carry: list[str], names: tuple[str, str, str] = ("score", "predicted", "spans")) -> DataFrame:
+    """Columns ``carry`` of ``docs`` with score, predicted and spans (start, end, p) of ``text``, under ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -256,15 +256,15 @@ def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
             values = [s for s, _ in found]
             yield pa.record_batch(
                 [*batch.columns[:-1], pa.array(values, pa.float64()), pa.array([int(v >= THRESHOLD) for v in values], pa.int32()), pa.array([s for _, s in found], kind)],
-                names=[*batch.schema.names[:-1], "score", "predicted", "spans"],
+                names=[*batch.schema.names[:-1], *names],
             )
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", span)])
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], span)])
     return docs.select(*carry, text_or_empty(F.col("text")).alias("_text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    judged = score(docs, train(docs, labels), docs.columns)
-    return judged.where("predicted = 0").select(*docs.columns)
+    judged = score(docs, train(docs, labels), docs.columns, ("_score", "_predicted", "_spans"))
+    return judged.where("_predicted = 0").select(*docs.columns)
