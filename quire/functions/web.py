@@ -72,8 +72,10 @@ def is_private_ipv6(name: Column) -> Column:
     inner = F.regexp_replace(name, r"^\[|\]$", "")
     local = inner.isin("", "::", "::1") | inner.rlike(r"^f[cd][0-9a-f]{2}:") | inner.rlike(r"^fe[89a-f][0-9a-f]:") | inner.rlike(r"^ff[0-9a-f]{2}:")
     tail = F.regexp_extract(inner, r"^::(?:ffff:)?(\d+\.\d+\.\d+\.\d+)$", 1)
-    words = [F.conv(F.lpad(F.regexp_extract(inner, r"^::(?:ffff:)?([0-9a-f]{1,4}):([0-9a-f]{1,4})$", n), 4, "0"), 16, 10).try_cast("int") for n in (1, 2)]
-    wrapped = F.concat_ws(".", F.floor(words[0] / 256), words[0] % 256, F.floor(words[1] / 256), words[1] % 256)
+    pair = r"^::(?:ffff:)?([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+    words = [F.conv(F.regexp_extract(inner, pair, n), 16, 10).try_cast("int") for n in (1, 2)]
+    dotted = F.concat_ws(".", F.floor(words[0] / 256), words[0] % 256, F.floor(words[1] / 256), words[1] % 256)
+    wrapped = F.when(inner.rlike(pair), dotted).otherwise("")
     return name.startswith("[") & (local | is_private_ipv4(tail) | is_private_ipv4(wrapped))
 
 

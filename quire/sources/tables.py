@@ -78,7 +78,7 @@ def fixtures_for(urls: DataFrame, fixtures: DataFrame) -> DataFrame:
     """
     from quire.operators.joins import small
 
-    fits = F.when(F.col("is_regex"), F.col("url").rlike(F.col("match"))).otherwise(F.contains("url", F.col("match")))
+    fits = F.when(F.col("is_regex"), F.rlike("url", F.col("match"))).otherwise(F.contains("url", F.col("match")))
     met = urls.join(small(fixtures), fits)
     first = met.groupBy("url").agg(F.min_by(F.struct(*fixtures.columns), "ordinal").alias("f"))
     return first.select("url", "f.*")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The events table of a folder as a stream."""
+    """The events table of a folder as a stream, its times in the session's zone, as watermarks need."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
