@@ -27,6 +27,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +42,7 @@ from pyspark.sql import types as T
 from quire.llm.storage import materialise
 from quire.llm.textcols import text_or_empty
 
-TOXIC, CLEAN = 1200, 6000
+TOXIC, CLEAN = 1000, 5000
 #: Least distinct contexts, share of toxic ones among them and G-test statistic of a feature.
 CONTEXTS, PURITY, STATISTIC = 6, 0.95, 25.0
 MOST_FEATURES = 5000
@@ -125,24 +128,34 @@ class Model:
 
 def choose_features(texts: list[str], toxic: list[int]) -> dict[str, int]:
     """Numbers of the features that mark toxicity in a labelled sample."""
-    seen: tuple[dict[str, set], dict[str, set]] = ({}, {})
-    mass = [0, 0]
-    for label in (1, 0):  # of clean documents, only what toxic ones often have is of interest
-        memo: dict[str, list[str]] = {}
-        wanted = None if label else {f for f, c in seen[1].items() if len(c) >= CONTEXTS}
+    often: Counter = Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        if label:
+            for word, n in Counter(WORDS.findall(text.lower())).items():
+                for f in features(word):
+                    often[f] += n
+    names = sorted(f for f, n in often.items() if n >= CONTEXTS)
+    number = {f: i for i, f in enumerate(names)}
+    del often
+    mass, counts = [0, 0], []
+    for label in (0, 1):
+        memo: dict[str, tuple[int, ...]] = {}
+        pairs = array("Q")  # a feature's number above, its neighbours' hash below
         for text in (t for t, y in zip(texts, toxic, strict=True) if y == label):
             words = WORDS.findall(text.lower())
             mass[label] += len(words)
             for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
                 own = memo.get(word)
                 if own is None:
-                    own = memo[word] = [f for f in features(word) if wanted is None or f in wanted]
-                for f in own:
-                    seen[label].setdefault(f, set()).add(hash((before, after)))
+                    own = memo[word] = tuple(number[f] << 32 for f in features(word) if f in number)
+                if own:
+                    context = zlib.crc32(f"{before} {after}".encode())
+                    pairs.extend(f | context for f in own)
+        distinct = np.unique(np.frombuffer(pairs, dtype=np.uint64)) >> np.uint64(32)
+        counts.append(np.bincount(distinct.astype(np.int64), minlength=len(names)))
     share = mass[1] / max(1, sum(mass))
     found = []
-    for f, contexts in seen[1].items():
-        ones, zeros = len(contexts), len(seen[0].get(f, ()))
+    for f, zeros, ones in zip(names, counts[0].tolist(), counts[1].tolist(), strict=True):
         if ones >= CONTEXTS and ones / (ones + zeros) >= PURITY:
             n = ones + zeros
             g = 2 * (ones * math.log(ones / (n * share)) + (zeros * math.log(zeros / (n * (1 - share))) if zeros else 0))
@@ -156,13 +169,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     index = choose_features(texts, toxic)
     if not index:
         return None
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, tuple[int, ...]] = {}
     rows, labels = [], []
     for text, label in zip(texts, toxic, strict=True):
         marks = []
         for word in WORDS.findall(text.lower()):
             if word not in memo:
-                memo[word] = [index[f] for f in features(word) if f in index]
+                memo[word] = tuple(index[f] for f in features(word) if f in index)
             marks.append(memo[word])
         for at in range(0, len(marks), WINDOW):
             cut = marks[at : at + WINDOW]
