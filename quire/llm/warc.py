@@ -86,7 +86,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in ``folder``; file, at and length of each record."""
     make_dir(folder)
     payload = text_or_empty(F.col("html"))
-    drawn = pages.orderBy(F.xxhash64("page_id"), "page_id").select(F.substring(payload, 1, SAMPLE_CHARS)).limit(SAMPLE)
+    # Chosen by id alone, so that tasks send no payloads but the sample's.
+    chosen = pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    chosen = materialise(chosen.distinct(), "warc-sample")
+    drawn = pages.join(F.broadcast(chosen), "page_id").select(F.substring(payload, 1, SAMPLE_CHARS)).limit(SAMPLE)
     dictionary = train([r[0].encode() for r in drawn.collect() if r[0]])
     known = roles(pages, least).select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), "first", "shared")
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("sha"))
