@@ -25,6 +25,7 @@ from. Repeated rows are scored alike. Other columns pass through or are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -77,6 +78,14 @@ class Model:
     def __setstate__(self, state):
         self.__init__(**state)
 
+    def to_json(self) -> str:
+        return json.dumps({"weights": self.weights, "bias": self.bias, "moves": self.moves.tolist()})
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        found = json.loads(text)
+        return cls(found["weights"], found["bias"], np.array(found["moves"]))
+
     def lift(self, word: str) -> float:
         """How much a word's features add to the bias; 0 where it has none."""
         found = self.memo.get(word)
@@ -254,8 +263,15 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
     sample = materialise(drawn[0].unionAll(drawn[1]), "toxicity-sample")  # no more rows than ``toxic`` and ``clean`` allow
     met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-    rows = sorted((r[0], r[1], r[2]) for r in met.select("doc_id", "text", "toxic").collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in held), []) for i in range(3)), strict=True)) if (held := list(batches)) else []
+        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.record_batch([pa.array([model.to_json() if model else None], pa.string())], names=["model"])
+
+    # One task fits the bounded sample, so that its texts and the fit's arrays aren't the driver's.
+    found = met.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model string").where("model is not null").first()
+    return Model.from_json(found["model"]) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, carry: list[str], names: tuple[str, str, str] = ("score", "predicted", "spans")) -> DataFrame:
