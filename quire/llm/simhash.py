@@ -14,6 +14,12 @@ Only a spanning forest of each shard's links leaves its task. Components come
 from alternating large-star and small-star steps over tables in the shared
 folder, so neither links nor fingerprints meet on the driver.
 
+``similar_groups`` uses the same trees for likeness of shingle sets: its shards
+are the bands of a MinHash, in which pairs of likeness 0.8 meet with a
+probability of 0.9996, the radius is that of such pairs, and each proposed link
+is measured exactly. A shard proposes a spanning forest, nearest pairs first; a
+true link is lost only if every path of nearer pairs between its ends fails.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other. Null doc_ids are returned, and are no component's id unless all its
 doc_ids are null. Repeated rows are all returned. Other columns are ignored.
@@ -32,9 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.storage import materialise
-from quire.llm.textcols import text_or_empty
+from quire.llm.textcols import WHITESPACE, ascii_lower, pieces, text_or_empty
+from quire.llm.textcols import shingle_hashes as jvm_shingles
 
 WIDTH, RADIUS, SEED = 4, 4, 42
+#: For likeness of shingle sets: five words, 0.8, the distance that nearly all such pairs keep, and a MinHash of 20 bands of 5.
+SIMILAR_WIDTH, SIMILARITY, SIMILAR_RADIUS, BANDS, ROWS = 5, 0.8, 16, 20, 5
 PIECE = 4096
 QUERIES = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -47,13 +56,21 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     words = text.translate(LOWER).split()
     if not words:
         return 0
-    joined = b" ".join(words)
+    return majority(shingle_hashes(words, b" ".join(words), width))
+
+
+def shingle_hashes(words: list[bytes], joined: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words, repeats kept; of all words where there are fewer."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     stops = np.cumsum(lengths + 1) - 1
     starts = stops - lengths
     k = min(width, len(words))
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), stops[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([of(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), stops[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in more than half of ``hashes``."""
     columns = hashes.view(np.uint8).reshape(-1, 8)
     set_bits = np.concatenate([np.bincount(columns[:, j], minlength=256) @ BITS for j in range(8)])
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
@@ -226,11 +243,121 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, p
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def spanning(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among (a, b) that join sets of ``root``, no more than needed; ``root`` is updated."""
+    while True:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        _, first = np.unique(np.maximum(root[a], root[b]), return_index=True)
+        yield a[first], b[first]
+        unite(root, a[first], b[first])
+
+
+def signature(text: bytes, width: int, keys: np.ndarray) -> tuple[int, int, list[int]]:
+    """Of a text: a hash of its words, its SimHash, and a hash for each band of its MinHash."""
+    words = text.translate(LOWER).split()
+    joined = b" ".join(words)
+    own = xxhash.xxh64_intdigest(joined, SEED)
+    if not words:
+        return own, 0, [0] * BANDS
+    hashes = shingle_hashes(words, joined, width)
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(len(keys), 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(short), 4096):
+        least = np.minimum(least, (short[at : at + 4096, None] * keys[None, :]).min(axis=0))
+    bands = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return own, majority(hashes), bands
+
+
+def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """doc_id, key (equal for texts of equal words), fp and bands for each row of ``docs``."""
+    keys = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t, width, keys) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            long = lambda x: pa.array(np.array(x, dtype="<u8").view("<i8"))
+            bands = np.array([x for _, _, b in found for x in b], dtype="<u8").view("<i8")
+            yield pa.record_batch(
+                [batch.column(0), long([k for k, _, _ in found]), long([f for _, f, _ in found]), pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), pa.array(bands))],
+                names=["doc_id", "key", "fp", "bands"],
+            )
+
+    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    longs = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs]))
+
+
+def candidate_pairs(distinct: DataFrame, radius: int = SIMILAR_RADIUS, piece: int = PIECE) -> DataFrame:
+    """Pairs (a, b) of keys that share a band and are within ``radius``: for each band's groups a spanning forest, nearest pairs first."""
+    keyed = distinct.select("key", "fp", F.posexplode("bands").alias("band", "value")).withColumn("shard", F.xxhash64("band", "value"))
+    counts = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    last = F.ceil(F.col("n") / piece) - 1
+    cut = (
+        keyed.join(materialise(counts, "band-groups"), "shard")
+        .withColumn("last", last)
+        .withColumn("mine", F.when(F.col("last") > 0, F.pmod(F.xxhash64("fp"), F.col("last") + 1)).otherwise(F.lit(0).cast("long")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    )
+    role = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    group = F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other"))
+    rows = cut.select(group.alias("g"), "key", "fp", role.alias("role")).repartition("g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not held:
+            return
+        g, key, fp, roles = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((key, roles, fp.view(np.uint64), g))
+        g, key, fp, roles = g[order], key[order], fp[order].view(np.uint64), roles[order]
+        root = np.arange(len(g))
+        same = np.flatnonzero((g[1:] == g[:-1]) & (fp[1:] == fp[:-1]))
+        pairs = list(spanning(root, same + 1, same))
+        first = np.ones(len(g), dtype=bool)
+        first[same + 1] = False
+        inside, asks = np.flatnonzero(first & (roles != 2)), np.flatnonzero(first & (roles != 1))
+        forest = Forest(g[inside], fp[inside])
+        for near in range(4, radius + 4, 4):
+            for query, node in forest.search(g[asks], fp[asks], min(near, radius)):
+                pairs += spanning(root, asks[query], inside[node])
+        a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        yield pa.record_batch([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b]))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """doc_id and component_id, by links between texts whose sets of shingles are ``similarity`` alike or more.
+
+    Shards of BK-trees are the bands of a MinHash; every link that they propose
+    is measured on the whole texts' sets before it counts.
+    """
+    found = materialise(signatures(docs, width), "signatures")
+    distinct = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    pairs = materialise(candidate_pairs(distinct, radius), "candidates")
+    wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+    holders = materialise(found.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("least")), "holders")
+    named = holders.select("key", F.col("least").alias("_least"))
+    shingles = F.array_distinct(jvm_shingles(pieces(ascii_lower(text_or_empty(F.col("text"))), WHITESPACE), width))
+    sets = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_least")).select("key", shingles.alias("set"))
+    sets = materialise(sets, "shingle-sets").dropDuplicates(["key"])
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    roots = components(links)
+    placed = distinct.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_key = materialise(placed.join(ids, "root").select("key", "component_id"), "similar")
+    return found.join(of_key, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the least doc_id.
 
     Of repeated doc_ids one row stays. A group whose doc_ids are all null keeps one row.
     """
-    found = near_duplicates(docs, width, radius)
+    found = similar_groups(docs, similarity)
     kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
