@@ -121,4 +121,4 @@ def count_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     tokenizer = tokenizer or tokenizing.default_path()
     files, placed = write_flat(docs, folder or scratch(docs.sparkSession, "flat"), tokenizer)
     found = scan_separators(files, (END,), tokenizing.id_type(tokenizer), block)
-    return placed.join(found, ["part", "ordinal"]).select("doc_id", "part", "start", "n_tokens", "ended")
+    return placed.join(found.hint("merge"), ["part", "ordinal"]).select("doc_id", "part", "start", "n_tokens", "ended")
