@@ -68,7 +68,8 @@ def coarser_or_default(old: Column, new: Column) -> Column:
     """Whether the new date only says less than the old one, or adds January 1st to its year."""
     a, b = canonical_date(old), canonical_date(new)
     year = F.substring(a, 1, 4)
-    return F.coalesce((F.char_length(b) < F.char_length(a)) & a.startswith(b), F.lit(False)) | F.coalesce((b == F.concat(year, F.lit("-01-01"))) & (a != b), F.lit(False))
+    first = (b == F.concat(year, F.lit("-01-01"))) & (F.char_length(a) >= 7) & (F.substring(a, 6, 2) != "01")
+    return F.coalesce((F.char_length(b) < F.char_length(a)) & a.startswith(b), F.lit(False)) | F.coalesce(first, F.lit(False))
 
 
 def date_role(role: Column) -> Column:
