@@ -113,7 +113,7 @@ def is_report_url(value: Column) -> Column:
 
 def extra_line(extra: Column, label: str) -> Column:
     """The value of the first line that starts with a label; empty if none does."""
-    lines = F.transform(F.split(blank(extra), "\n"), F.trim)
+    lines = F.transform(F.split(blank(extra), "\n"), lambda x: F.trim(x))
     hit = F.get(F.filter(lines, lambda x: F.lower(x).startswith(f"{label.lower()}:")), 0)
     return F.trim(F.coalesce(F.substring(hit, F.lit(len(label) + 2), F.char_length(hit)), F.lit("")))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quire.plans import relational, rules, scalars, summaries, texts
+from quire.plans import judging, relational, rules, scalars, summaries, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for part in (relational, summaries, scalars, rules, texts):
+for part in (relational, summaries, scalars, rules, texts, judging):
     QUERIES |= part.REGISTRY.queries
     ORACLE |= part.REGISTRY.oracle
