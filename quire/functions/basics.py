@@ -13,6 +13,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def let_both(a: Column, b: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then(a, b)`` with each evaluated once."""
+    return let(a, lambda x: let(b, lambda y: then(x, y)))
+
+
 def blank(value: Column) -> Column:
     """Null as empty text."""
     return F.coalesce(value.cast("string"), F.lit(""))

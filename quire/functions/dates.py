@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.basics import blank
+from quire.functions.basics import blank, let_both
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -61,12 +61,16 @@ def precision(canonical: Column) -> Column:
 
 def same_date(a: Column, b: Column) -> Column:
     """Equal at equal precision."""
-    return F.coalesce(canonical_date(a) == canonical_date(b), F.lit(False))
+    return let_both(canonical_date(a), canonical_date(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
 
 
 def coarser_or_default(old: Column, new: Column) -> Column:
     """Whether the new date only says less than the old one, or adds January 1st to its year."""
-    a, b = canonical_date(old), canonical_date(new)
+    return let_both(canonical_date(old), canonical_date(new), says_less)
+
+
+def says_less(a: Column, b: Column) -> Column:
+    """``coarser_or_default`` of canonical dates."""
     year = F.substring(a, 1, 4)
     first = (b == F.concat(year, F.lit("-01-01"))) & (F.char_length(a) >= 7) & (F.substring(a, 6, 2) != "01")
     return F.coalesce((F.char_length(b) < F.char_length(a)) & a.startswith(b), F.lit(False)) | F.coalesce(first, F.lit(False))

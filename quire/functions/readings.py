@@ -259,3 +259,13 @@ SCANNED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Str
 @F.pandas_udf(SCANNED)
 def identifiers_in(text: pd.Series) -> pd.Series:
     return text.fillna("").map(scan)
+
+
+def us_patents(text: Column) -> Column:
+    """Numbers of United States patents and applications that a text prints, each once, in order of kind."""
+    t = blank(text)
+    application = r"(?<![A-Za-z0-9])US\s*((?:19|20)\d{2})\s*/?\s*(\d{7})\s*A\s*([1-9Il])(?![A-Za-z0-9])"
+    grant = r"(?<![A-Za-z0-9])US\s*((?:RE|D|PP)?\s*(?:\d{1,3}(?:,\d{3}){1,2}|\d{7,8}))\s*([ABEPS])\s*([1-9Il]?)(?![A-Za-z0-9])"
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s,/]", ""), "[Il]$", "1")
+    both = F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in (application, grant)))
+    return F.array_distinct(F.transform(both, bare))

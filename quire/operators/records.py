@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import dates, identifiers, readings, titles
-from quire.functions.basics import blank
+from quire.functions.basics import blank, let_both
 from quire.operators.joins import small
 
 #: Fields that only keep books, that the library owns, and that name a container.
@@ -54,7 +54,7 @@ def record_diff(stored: DataFrame, read: DataFrame, key: str = "key", authoritat
         (f.isin(*OWNED) & has)
         | (f.isin("title", *CONTAINERS) & has & (titles.fold(old) == titles.fold(new)))
         | ((f == "title") & titles.is_truncated(old, new))
-        | (f.isin(*DATES) & (dates.same_date(old, new) | (has & dates.coarser_or_default(old, new))))
+        | (f.isin(*DATES) & let_both(dates.canonical_date(old), dates.canonical_date(new), lambda a, b: F.coalesce(a == b, F.lit(False)) | (has & dates.says_less(a, b))))
         | ((f == "publisher") & readings.same_publisher(old, new))
         | ((f == "DOI") & identifiers.same_doi(old, new))
         | (old == new)

@@ -87,3 +87,23 @@ def folio_runs(t):
 def document_titles(t):
     """Titles past running heads."""
     return pages.document_title(_paged(t))
+
+
+@query("""
+SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'mismatch' WHEN o_orderkey % 4 = 1 THEN 'ready' WHEN o_orderkey % 4 = 2 THEN 'review' ELSE 'noChanges' END AS status,
+  CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS changes FROM orders""")
+def evaluated_rows(t):
+    """From a reading to a row's status: diff, verification, decision."""
+    key = F.col("o_orderkey")
+    k = key % 4
+    title = F.when(k == 3, "Old title").otherwise(F.concat(F.lit("New title "), key.cast("string")))
+    stored = _long(t("orders"), "o_orderkey", title=F.lit("Old title"))
+    read = _long(t("orders"), "o_orderkey", title=title)
+    changes = records.record_diff(stored, read)
+    k = F.col("key") % 4
+    text = F.when(k == 1, F.concat(F.lit("A new title "), F.col("key").cast("string"))).otherwise("nothing of it")
+    judged = records.verify(changes, text, F.when(k == 0, F.lit("Third title")), F.lit(False))
+    counts = judged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "verified").alias("verified"), F.count_if(F.col("level") == "conflicting").alias("conflicting"))
+    rows = t("orders").select(key.alias("key")).join(counts, "key", "left").fillna(0)
+    status = F.when(F.col("conflicting") > 0, "mismatch").when(F.col("n") == 0, "noChanges").when(F.col("verified") == F.col("n"), "ready").otherwise("review")
+    return rows.select("key", status.alias("status"), F.col("n").cast("int").alias("changes"))

@@ -152,3 +152,20 @@ def scanned_identifiers(t):
     text = F.concat(head, F.lit("doi 10.1234/A."), k.cast("string"), F.when(k % 2 == 0, ".").otherwise(""), F.lit(" and ISSN 0378-5954"))
     rows = t("part").select("p_partkey", F.inline(readings.identifiers_in(text)))
     return rows.select("p_partkey", F.col("value").alias("doi"), "confidence", "cited")
+
+
+@query("""SELECT p_partkey, 'US2019' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A1,US9' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || 'B2' AS numbers FROM part""")
+def patent_numbers(t):
+    """Patent numbers that a text prints."""
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("Pub. No.: US 2019/"), F.lpad(key, 7, "0"), F.lit(" A1; see US 9,"), F.substring(F.lpad(key, 6, "0"), 1, 3), F.lit(","), F.substring(F.lpad(key, 6, "0"), 4, 3), F.lit(" B2"))
+    return t("part").select("p_partkey", F.array_join(readings.us_patents(text), ",").alias("numbers"))
+
+
+@query("""
+SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS front FROM conversations WHERE turn BETWEEN 1 AND 5 AND length(text) >= 40 GROUP BY 1""")
+def usable_chunks(t):
+    """Chunks of an index long enough and near the front, in order."""
+    rows = t("conversations").where("turn between 1 and 5 and length(text) >= 40")
+    parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("front"))

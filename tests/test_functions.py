@@ -104,3 +104,32 @@ def test_web(spark):
 def test_evidence_order(spark):
     assert len(set(decisions.EVIDENCE_ORDER)) == 15
     assert values(spark, ["pending", "applied", "other"], decisions.evidence_rank) == [0, 14, 15]
+
+
+def test_readings(spark):
+    from quire.functions import readings
+
+    found = values(spark, ["978 0306 406157 x 0-306-40615-2", "97803064061570804429575", "080442957X, none", None], readings.isbns_in)
+    assert found == [["9780306406157"], ["9780306406157"], ["9780804429573"], []]
+    kinds = [[(x["kind"], x["confidence"]) for x in r] for r in values(spark, ["10.1234/a(b and 10.1234/c. 0378-5955 0378-5954", None], readings.identifiers_in)]
+    assert kinds == [[("doi", "ambiguous"), ("doi", "repaired"), ("issn", "exact")], []]
+    pairs = [("House Ltd.", "House"), ("House & Sons", "House"), ("Ltd", "Inc"), ("House", "Other")]
+    assert values(spark, pairs, readings.same_publisher, "a string, b string") == [True, True, False, False]
+    assert values(spark, ["12-19", "123–9", "ISSN 1234-5678", "07-09", "9-3"], readings.page_ranges) == [["12-19"], ["123-129"], ["1234-5678"], [], []]
+    assert values(spark, ["doi:10.1234/x", "https://x.org", "0306406152", "x", None], readings.reference_kind) == ["doi", "url", "isbn", None, None]
+
+
+def test_names(spark):
+    from quire.functions import names
+
+    assert values(spark, ["한글 A", None], names.romanise) == ["hangeul a", ""]
+    assert values(spark, ["김민수", "Adams, Mary", "Mary Jane Adams", "Adams"], names.person_parts) == [("김", "민수"), ("Adams", "Mary"), ("Adams", "Mary Jane"), ("Adams", "")]
+    assert values(spark, [("김", "Kim"), ("이", "LEE"), ("한", "han"), ("한", "kim")], names.surname_spelled, "a string, b string") == [True, True, True, False]
+
+
+def test_field_problems(spark):
+    from quire.operators import records
+
+    pairs = [("title", "Untitled"), ("DOI", "10.1234/ok"), ("DOI", "10.1234/xxx"), ("ISBN", "0306406152 1"), ("volume", "iv"), ("issue", "spring"), ("language", "English"), ("pages", "e12-e19"), ("x", None)]
+    want = ["placeholder", None, "template", None, None, "noNumber", None, None, "empty"]
+    assert values(spark, pairs, records.field_problem, "f string, v string") == want
