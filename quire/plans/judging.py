@@ -71,7 +71,7 @@ def _paged(t):
 
 
 @query("""
-SELECT DISTINCT o_custkey AS doc_id, p AS page, CASE WHEN p >= 4 THEN 'references' ELSE 'body' END AS role FROM orders, range(1, 6) r(p)""")
+SELECT DISTINCT o_custkey AS doc_id, CAST(p AS INT) AS page, CASE WHEN p >= 4 THEN 'references' ELSE 'body' END AS role FROM orders, range(1, 6) r(p)""")
 def page_roles(t):
     """What pages are, references carried on."""
     return pages.roles(_paged(t))

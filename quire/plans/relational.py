@@ -194,7 +194,7 @@ def anti_join_exclusions(t):
 
 
 @query("""
-SELECT user_id, count(*) AS runs, sum(seconds) AS covered, max(parts) AS most FROM (
+SELECT user_id, count(*) AS runs, CAST(sum(seconds) AS BIGINT) AS covered, max(parts) AS most FROM (
   SELECT user_id, run, date_diff('second', min(s), max(e)) AS seconds, count(*) AS parts FROM (
     SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM (
       SELECT user_id, date_trunc('second', ts) AS s, date_trunc('second', ts) + INTERVAL 12 HOUR AS e,
@@ -214,7 +214,7 @@ def top3_per_label(t):
     """The three best of each group, one for each key (T4, T5)."""
     score = F.aggregate(F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     rows = t("embeddings").select("label", "vec_id", score.alias("score"))
-    return windows.top(rows, ["label"], 3, F.col("score").desc(), F.col("vec_id")).select("label", "vec_id", "rank")
+    return windows.top(rows, ["label"], 3, F.col("score").desc(), F.col("vec_id")).select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -301,7 +301,7 @@ def dedupe_exact_documents(t):
 
 
 @query("""
-SELECT nation, sum(n) AS n, count(*) AS kinds FROM (
+SELECT nation, CAST(sum(n) AS BIGINT) AS n, count(*) AS kinds FROM (
   SELECT c_nationkey AS nation, 'c' AS kind, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, 's', count(*) FROM supplier GROUP BY 1) GROUP BY nation""")
 def union_of_phases(t):
     """Two phases' results as one, counts added."""

@@ -71,7 +71,7 @@ def printed_against_stored(t):
 
 
 @query("""
-SELECT count(*) AS rows, sum(lines) AS proposed, sum(returned) AS verified, sum(lines) FILTER (returned > 0) AS held FROM (
+SELECT count(*) AS rows, CAST(sum(lines) AS BIGINT) AS proposed, CAST(sum(returned) AS BIGINT) AS verified, CAST(sum(lines) FILTER (returned > 0) AS BIGINT) AS held FROM (
   SELECT o_orderkey, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS returned FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""")
 def operations_metrics(t):
     """Sums over rows and their changes."""
@@ -112,7 +112,7 @@ def ordered_histogram(t):
 
 
 @query("""
-SELECT user_id, sum(n) AS calls, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS outcomes FROM (
+SELECT user_id, CAST(sum(n) AS BIGINT) AS calls, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS outcomes FROM (
   SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id""")
 def provider_outcome_summary(t):
     """Calls of each provider with a map of outcomes."""
@@ -182,7 +182,7 @@ def stated_years(t):
 @query("""SELECT p_brand, quantile_disc(p_size, 0.5) FILTER (p_size > 0) AS median FROM part GROUP BY 1""")
 def lower_median(t):
     """The lower median of positive values."""
-    return t("part").groupBy("p_brand").agg(aggregates.lower_median("p_size").alias("median"))
+    return t("part").groupBy("p_brand").agg(aggregates.lower_median("p_size").cast("int").alias("median"))
 
 
 @query("""
