@@ -293,10 +293,10 @@ def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
 def candidate_pairs(distinct: DataFrame, radius: int = SIMILAR_RADIUS, piece: int = PIECE) -> DataFrame:
     """Pairs (a, b) of keys that share a band and are within ``radius``: for each band's groups a spanning forest, nearest pairs first."""
     keyed = distinct.select("key", "fp", F.posexplode("bands").alias("band", "value")).withColumn("shard", F.xxhash64("band", "value"))
-    counts = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    last = F.ceil(F.col("n") / piece) - 1
+    hot = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece)
+    last = F.ceil(F.coalesce("n", F.lit(1)) / piece) - 1
     cut = (
-        keyed.join(materialise(counts, "band-groups"), "shard")
+        keyed.join(materialise(hot, "hot-bands"), "shard", "left")
         .withColumn("last", last)
         .withColumn("mine", F.when(F.col("last") > 0, F.pmod(F.xxhash64("fp"), F.col("last") + 1)).otherwise(F.lit(0).cast("long")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
@@ -340,9 +340,11 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
     holders = materialise(found.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("least")), "holders")
     named = holders.select("key", F.col("least").alias("_least"))
-    shingles = F.array_distinct(jvm_shingles(pieces(ascii_lower(text_or_empty(F.col("text"))), WHITESPACE), width))
-    sets = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_least")).select("key", shingles.alias("set"))
-    sets = materialise(sets, "shingle-sets").dropDuplicates(["key"])
+    met = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_least"))
+    met = met.select("key", pieces(ascii_lower(text_or_empty(F.col("text"))), WHITESPACE).alias("words"))
+    # A repeated doc_id may stand on another text too; the key tells. Sets that come twice give the same links.
+    met = met.where(F.xxhash64(F.array_join("words", " ")) == F.col("key"))
+    sets = materialise(met.select("key", F.array_distinct(jvm_shingles(F.col("words"), width)).alias("set")), "shingle-sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -359,5 +361,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of repeated doc_ids one row stays. A group whose doc_ids are all null keeps one row.
     """
     found = similar_groups(docs, similarity)
-    kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    found = materialise(found, "found")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    counted = found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    out = materialise(counted.where("not first or n > 1").select(F.col("doc_id").alias("_id"), "first"), "decided")
+    dropped = out.where("not first")
+    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]), "left_anti")
+    return kept.dropDuplicates(["doc_id"]) if out.where("first").limit(1).count() else kept
