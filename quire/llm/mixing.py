@@ -219,7 +219,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     _, each = mix(docs, **options)
     each = each.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sha").alias("_sha"), "words", "shard", "place").groupBy("_id", "_source", "_sha").agg(F.collect_list(F.struct(F.col("words").alias("_words"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))).alias("_takes"))
-    key = docs.select("*", F.sha2(text_or_empty(F.col("text")), 256).alias("_of")).dropDuplicates(["doc_id", "source", "_of"])
+    key = docs.select("*", F.sha2(text_or_empty(F.col("text")), 256).alias("_of"))
+    repeated = materialise(key.select("doc_id", "source", "_of"), "keys").groupBy("doc_id", "source", "_of").count().where("count > 1")
+    if repeated.limit(1).count():
+        key = key.dropDuplicates(["doc_id", "source", "_of"])
     met = key.join(each, key["doc_id"].eqNullSafe(each["_id"]) & (key["_of"] == each["_sha"]) & key["source"].eqNullSafe(each["_source"]))
     rows = met.select(*(key[c] for c in docs.columns), F.inline("_takes"))
     size = word_count(F.col("text"))
