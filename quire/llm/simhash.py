@@ -14,11 +14,11 @@ Only a spanning forest of each shard's links leaves its task. Components come
 from alternating large-star and small-star steps over tables in the shared
 folder, so neither links nor fingerprints meet on the driver.
 
-``similar_groups`` uses the same trees for likeness of shingle sets: its shards
-are the bands of a MinHash, in which pairs of likeness 0.8 meet with a
-probability of 0.9996, the radius is that of such pairs, and each proposed link
-is measured exactly. A shard proposes a spanning forest, nearest pairs first; a
-true link is lost only if every path of nearer pairs between its ends fails.
+``similar_roots`` links by likeness of shingle sets instead. Its shards are the
+bands of a MinHash, in which pairs of likeness 0.8 meet with a probability of
+0.9996. The sets of texts that share a band go to its task, and every pair that
+isn't already linked there through others is measured exactly. Hot bands are cut
+into pieces likewise.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other. Null doc_ids are returned, and are no component's id unless all its
@@ -33,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,10 @@ from quire.llm.textcols import WHITESPACE, ascii_lower, pieces, text_or_empty
 from quire.llm.textcols import shingle_hashes as jvm_shingles
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-#: For likeness of shingle sets: five words, 0.8, the distance that nearly all such pairs keep, and a MinHash of 20 bands of 5.
-SIMILAR_WIDTH, SIMILARITY, SIMILAR_RADIUS, BANDS, ROWS = 5, 0.8, 16, 20, 5
+#: For likeness of shingle sets: five words, 0.8, and a MinHash of 20 bands of 5.
+SIMILAR_WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+#: Keys up to which a table of them is broadcast to the texts; counted first.
+BROADCAST_KEYS = 300_000
 PIECE = 4096
 QUERIES = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -243,116 +245,145 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, p
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def spanning(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs among (a, b) that join sets of ``root``, no more than needed; ``root`` is updated."""
-    while True:
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-        if not len(a):
-            return
-        _, first = np.unique(np.maximum(root[a], root[b]), return_index=True)
-        yield a[first], b[first]
-        unite(root, a[first], b[first])
-
-
-def signature(text: bytes, width: int, keys: np.ndarray) -> tuple[int, int, list[int]]:
-    """Of a text: a hash of its words, its SimHash, and a hash for each band of its MinHash."""
+def signature(text: bytes, width: int, keys: np.ndarray) -> tuple[int, list[int]]:
+    """Of a text: a hash of its words, and a hash for each band of its MinHash."""
     words = text.translate(LOWER).split()
     joined = b" ".join(words)
     own = xxhash.xxh64_intdigest(joined, SEED)
     if not words:
-        return own, 0, [0] * BANDS
+        return own, [0] * BANDS
     hashes = shingle_hashes(words, joined, width)
     short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(len(keys), 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(short), 4096):
         least = np.minimum(least, (short[at : at + 4096, None] * keys[None, :]).min(axis=0))
-    bands = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-    return own, majority(hashes), bands
+    return own, [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, key (equal for texts of equal words), fp and bands for each row of ``docs``."""
+    """doc_id, key (equal for texts of equal words) and bands for each row of ``docs``."""
     keys = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signature(t, width, keys) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            long = lambda x: pa.array(np.array(x, dtype="<u8").view("<i8"))
-            bands = np.array([x for _, _, b in found for x in b], dtype="<u8").view("<i8")
+            own = np.array([k for k, _ in found], dtype="<u8").view("<i8")
+            bands = np.array([x for _, b in found for x in b], dtype="<u8").view("<i8")
             yield pa.record_batch(
-                [batch.column(0), long([k for k, _, _ in found]), long([f for _, f, _ in found]), pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), pa.array(bands))],
-                names=["doc_id", "key", "fp", "bands"],
+                [batch.column(0), pa.array(own), pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), pa.array(bands))],
+                names=["doc_id", "key", "bands"],
             )
 
     rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    longs = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    longs = [T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs]))
 
 
-def candidate_pairs(distinct: DataFrame, radius: int = SIMILAR_RADIUS, piece: int = PIECE) -> DataFrame:
-    """Pairs (a, b) of keys that share a band and are within ``radius``: for each band's groups a spanning forest, nearest pairs first."""
-    keyed = distinct.select("key", "fp", F.posexplode("bands").alias("band", "value")).withColumn("shard", F.xxhash64("band", "value"))
-    hot = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece)
-    last = F.ceil(F.coalesce("n", F.lit(1)) / piece) - 1
+def words_of(text: Column) -> Column:
+    return pieces(ascii_lower(text_or_empty(text)), WHITESPACE)
+
+
+def key_of(text: Column) -> Column:
+    """The key that ``signatures`` gives a text."""
+    return F.xxhash64(F.array_join(words_of(text), " "))
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` with a broadcast hint if a count shows them to be few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def alike(starts: np.ndarray, tokens: np.ndarray, roles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a group of sets, enough of them to join what all pairs of ``similarity`` or more join.
+
+    Set i is ``tokens[starts[i]:starts[i + 1]]``, without repeats. roles: 0 meets
+    all others, 1 only those of 2, 2 only those of 1. Only pairs whose ends are
+    linked already, or whose sizes rule it out, aren't measured.
+    """
+    n, sizes = len(roles), np.diff(starts)
+    values, of = np.unique(tokens, return_inverse=True)
+    mark, root, found = np.zeros(len(values), dtype=bool), np.arange(n), []
+    place = np.arange(n)
+    for i in np.flatnonzero(roles != 1):
+        fits = (root != root[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        others = np.flatnonzero(fits & (place > i) & (roles == 0) if roles[i] == 0 else fits & (roles == 1))
+        if not len(others):
+            continue
+        mine = of[starts[i] : starts[i + 1]]
+        mark[mine] = True
+        ends = np.cumsum(sizes[others])
+        at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - sizes[others]), sizes[others])
+        hits = np.concatenate([[0], np.cumsum(mark[of[at]])])
+        mark[mine] = False
+        shared = hits[ends] - hits[ends - sizes[others]]
+        near = others[shared >= similarity * (sizes[i] + sizes[others] - shared)]
+        if len(near):
+            sets, first = np.unique(root[near], return_index=True)
+            found += [(int(i), int(j)) for j in near[first]]
+            root[np.isin(root, sets)] = root[i]
+    return found
+
+
+def similar_links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, piece: int = PIECE) -> DataFrame:
+    """Links (a, b) of keys, whose components are those of all pairs that share a band and are ``similarity`` alike or more.
+
+    ``found`` are the signatures of ``docs``.
+    """
+    distinct = found.groupBy("key").agg(F.first("bands").alias("bands"))
+    keyed = materialise(distinct.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("shard")), "bands")
+    shared = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(keyed.join(shared, "shard"), "shared-bands")
+    wanted = materialise(met.select("key").distinct(), "met")
+    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(few(wanted), "key").groupBy("key").agg(F.first("text").alias("text"))
+    sets = materialise(texts.select("key", F.array_distinct(jvm_shingles(words_of(F.col("text")), width)).alias("set")), "shingle-sets")
+    last = F.ceil(F.col("n") / piece) - 1
     cut = (
-        keyed.join(materialise(hot, "hot-bands"), "shard", "left")
-        .withColumn("last", last)
-        .withColumn("mine", F.when(F.col("last") > 0, F.pmod(F.xxhash64("fp"), F.col("last") + 1)).otherwise(F.lit(0).cast("long")))
+        met.withColumn("last", last)
+        .withColumn("mine", F.when(F.col("last") > 0, F.pmod(F.xxhash64("key"), F.col("last") + 1)).otherwise(F.lit(0).cast("long")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     )
     role = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     group = F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = cut.select(group.alias("g"), "key", "fp", role.alias("role")).repartition("g")
+    # Groups whose hashes collide are measured as one, which can only find true links.
+    rows = cut.select(group.alias("g"), "key", role.alias("role")).join(sets, "key").select("g", "key", "role", "set").repartition("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        held = list(batches)
         if not held:
             return
-        g, key, fp, roles = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((key, roles, fp.view(np.uint64), g))
-        g, key, fp, roles = g[order], key[order], fp[order].view(np.uint64), roles[order]
-        root = np.arange(len(g))
-        same = np.flatnonzero((g[1:] == g[:-1]) & (fp[1:] == fp[:-1]))
-        pairs = list(spanning(root, same + 1, same))
-        first = np.ones(len(g), dtype=bool)
-        first[same + 1] = False
-        inside, asks = np.flatnonzero(first & (roles != 2)), np.flatnonzero(first & (roles != 1))
-        forest = Forest(g[inside], fp[inside])
-        for near in range(4, radius + 4, 4):
-            for query, node in forest.search(g[asks], fp[asks], min(near, radius)):
-                pairs += spanning(root, asks[query], inside[node])
-        a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-        yield pa.record_batch([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b]))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """doc_id and component_id, by links between texts whose sets of shingles are ``similarity`` alike or more.
-
-    Shards of BK-trees are the bands of a MinHash; every link that they propose
-    is measured on the whole texts' sets before it counts.
-    """
-    found = materialise(signatures(docs, width), "signatures")
-    distinct = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    pairs = materialise(candidate_pairs(distinct, radius), "candidates")
-    wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    holders = materialise(found.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("least")), "holders")
-    named = holders.select("key", F.col("least").alias("_least"))
-    met = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_least"))
-    met = met.select("key", pieces(ascii_lower(text_or_empty(F.col("text"))), WHITESPACE).alias("words"))
-    # A repeated doc_id may stand on another text too; the key tells. Sets that come twice give the same links.
-    met = met.where(F.xxhash64(F.array_join("words", " ")) == F.col("key"))
-    sets = materialise(met.select("key", F.array_distinct(jvm_shingles(F.col("words"), width)).alias("set")), "shingle-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    roots = components(links)
-    placed = distinct.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+        table = pa.Table.from_batches(held).combine_chunks()
+        g, key, roles = (table.column(c).to_numpy() for c in ("g", "key", "role"))
+        lists = table.column("set").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
+        starts, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
+        order = np.lexsort((key, g))
+        bounds = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1], [True]]))
+        pairs = []
+        for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if end - begin > 1:
+                own = order[begin:end]
+                parts = [tokens[starts[k] : starts[k + 1]] for k in own]
+                at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                pairs += [(key[own[i]], key[own[j]]) for i, j in alike(at, np.concatenate(parts), roles[own], similarity)]
+        ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        yield pa.record_batch([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """key, root of its component, n rows and the least doc_id of them (null only if all are), for each key of ``found``, the signatures of ``docs``."""
+    roots = components(similar_links(docs, found, similarity))
+    rows = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    return rows.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "n", F.coalesce("root", "key").alias("root"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id, by links between texts whose sets of shingles are ``similarity`` alike or more."""
+    found = materialise(signatures(docs), "signatures")
+    placed = materialise(similar_roots(docs, found, similarity), "similar")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = materialise(placed.join(ids, "root").select("key", "component_id"), "similar")
-    return found.join(of_key, "key").select("doc_id", "component_id")
+    return found.join(placed.join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

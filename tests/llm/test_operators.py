@@ -310,6 +310,41 @@ def test_near_duplicates_of_odd_tables(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def similar(rows: list[tuple[int, str]], similarity: float = 0.8) -> list[list[int]]:
+    """Groups of ids by links of all pairs, by brute force."""
+    sets = {k: brute.shingles(t) for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and brute.jaccard(sets[a], sets[b]) >= similarity:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+
+
+@pytest.mark.parametrize("piece", [4096, 20])
+def test_templated_texts_are_all_measured(spark, piece):
+    rng = np.random.default_rng(7)
+    template, rows = [f"t{i}" for i in range(150)], []
+    for k in range(240):
+        words = list(template)
+        for at in rng.choice(150, int(rng.integers(2, 9)), replace=False):
+            words[at] = f"v{rng.integers(0, 10**9)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = similar(rows)
+    assert 20 < len(want) < 220 and max(map(len, want)) > 2
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [g[0] for g in want]
+    found = storage.materialise(simhash.signatures(docs), "signatures")
+    ids = {r["key"]: r["doc_id"] for r in found.collect()}
+    groups = {}
+    links = simhash.similar_links(docs, found, piece=piece)
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    for key, k in ids.items():
+        groups.setdefault(roots.get(key, key), []).append(k)
+    assert sorted(map(sorted, groups.values())) == want
+
+
 # WARC
 
 
