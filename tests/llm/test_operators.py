@@ -345,6 +345,15 @@ def test_templated_texts_are_all_measured(spark, piece):
     assert sorted(map(sorted, groups.values())) == want
 
 
+def test_repeated_passages_dont_hide_copies(spark):
+    rows = []
+    for k in range(20):
+        words, line = " ".join(f"w{k}x{i}" for i in range(150)), " ".join(f"l{k}x{i}" for i in range(10))
+        rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} " + " ".join([line] * 40))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+
+
 # WARC
 
 
