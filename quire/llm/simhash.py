@@ -378,24 +378,23 @@ def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILAR
     return rows.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "n", F.coalesce("root", "key").alias("root"))
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id, by links between texts whose sets of shingles are ``similarity`` alike or more."""
-    found = materialise(signatures(docs), "signatures")
-    placed = materialise(similar_roots(docs, found, similarity), "similar")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(placed.join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
-
-
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that with the least doc_id.
+    """``docs`` with one row of each group of near-duplicates: one with the least doc_id, nulls last.
 
-    Of repeated doc_ids one row stays. A group whose doc_ids are all null keeps one row.
+    Groups are of rows, by their texts alone: rows that share a doc_id, or have
+    none, are told apart by their words.
     """
-    found = similar_groups(docs, similarity)
-    found = materialise(found, "found")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    counted = found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    out = materialise(counted.where("not first or n > 1").select(F.col("doc_id").alias("_id"), "first"), "decided")
-    dropped = out.where("not first")
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if out.where("first").limit(1).count() else kept
+    found = materialise(signatures(docs), "signatures")
+    placed = materialise(similar_roots(docs, found, similarity), "similar")
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("key").alias("key"))).alias("best")
+    groups = placed.groupBy("root").agg(best, F.sum("n").alias("n")).where("n > 1").select("root", "best")
+    decided = placed.join(groups, "root").select(F.col("key").alias("_key"), F.col("best.id").alias("_id"), (F.col("best.key") == F.col("key")).alias("_first"))
+    twice = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key2"), F.col("doc_id").alias("_id2"))
+    again = decided.join(twice, (F.col("_key") == F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
+    decided = materialise(again.select("_key", "_id", "_first", F.col("_key2").isNotNull().alias("_again")), "decided")
+    met = docs.withColumn("_own", key_of(F.col("text"))).join(few(decided), F.col("_own") == F.col("_key"), "left")
+    kept = met.where(F.col("_key").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_id"))))
+    if not decided.where("_first and _again").limit(1).count():
+        return kept.select(*docs.columns)
+    repeated = F.coalesce("_again", F.lit(False))
+    return kept.where(~repeated).select(*docs.columns).unionByName(kept.where(repeated).dropDuplicates(["_own"]).select(*docs.columns))

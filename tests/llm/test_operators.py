@@ -354,6 +354,13 @@ def test_repeated_passages_dont_hide_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
 
 
+def test_rows_are_kept_by_text_not_by_id(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " end"), (None, texts[2]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (4, texts[4]), (5, texts[5]), (5, texts[5] + " end"), (6, texts[6]), (6, texts[6]), (None, texts[7]), (7, texts[7] + " end")]
+    kept = sorted((r["doc_id"] or 0, r["text"].removesuffix(" end")) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [(0, texts[0]), (0, texts[1]), (0, texts[2]), (3, texts[3]), (3, texts[4]), (5, texts[5]), (6, texts[6]), (7, texts[7])]
+
+
 # WARC
 
 
