@@ -81,6 +81,19 @@ def gaps_below(df: DataFrame, keys: Sequence[str], at: str, least_ms: int) -> Da
     return df.withColumn("wait_ms", F.floor((_micros(F.col(at)) - _micros(F.lag(at).over(w))) / 1000)).where(F.col("wait_ms") < least_ms)
 
 
+def hits(text: Column, word: str) -> Column:
+    """The places, from 1 on, of all occurrences of a plain word that don't overlap."""
+    n = F.char_length(F.lit(word))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def go_on(done: Column, piece: Column) -> Column:
+        at = done["at"] + F.char_length(piece)
+        return F.struct((at + n).alias("at"), F.concat(done["found"], F.array(at)).alias("found"))
+
+    ends = F.aggregate(F.split(text, rf"\Q{word}\E"), start, go_on)["found"]
+    return F.slice(ends, 1, F.size(ends) - 1)  # the text's own end is none
+
+
 def span_cover(positions: DataFrame, keys: Sequence[str], start: str, end: str, word: str, wanted: int, share: float = 0.85) -> DataFrame:
     """Keys for which a stretch of ``max(2n, n + 80)`` units holds enough of ``wanted`` (n) distinct words.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import aggregates, joins, windows
+from quire.plans import relational, scalars
 from quire.sources import sinks, tables
 from quire.streaming import events
 
@@ -82,6 +83,13 @@ def test_export(spark, tmp_path):
         sinks.export_selected(df.where("id = 2"), str(tmp_path / "none"), ["text"])
 
 
+def test_any_stretch_of_all_hits_counts(spark):
+    far = "the " + "x" * 500
+    df = spark.createDataFrame([(1, 0, far + " the big and the thing"), (1, 1, far + " and thing"), (2, 0, "x"), (3, 0, None)], "conv_id long, turn int, text string")
+    found = scalars.span_cover_all_hits(lambda name: df)
+    assert rows(found, "conv_id", "turn", "covered", "supported") == [(1, 0, 3, True), (1, 1, 2, False)]
+
+
 def test_corrupt_json_is_kept(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
     found = tables.json_rows(spark, str(tmp_path), "a int").cache()
