@@ -90,6 +90,12 @@ def test_any_stretch_of_all_hits_counts(spark):
     assert rows(found, "conv_id", "turn", "covered", "supported") == [(1, 0, 3, True), (1, 1, 2, False)]
 
 
+def test_export_takes_all_rows(spark):
+    df = spark.createDataFrame([(3, "en", "x" * 20_013), (4, "fr", "y" * 20_013), (6, "en", "z" * 6_000)], "doc_id long, lang string, text string")
+    found = {r["doc_id"]: r["text"] for r in relational.export_all_rows(lambda name: df).collect()}
+    assert found == {3: "x" * 20_000 + "…[13 characters omitted]", 4: "y" * 20_013, 6: "z" * 6_000}
+
+
 def test_corrupt_json_is_kept(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
     found = tables.json_rows(spark, str(tmp_path), "a int").cache()
