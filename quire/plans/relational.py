@@ -49,9 +49,20 @@ SELECT o_orderkey, o_custkey, (SELECT max(c_name) FROM customer WHERE c_custkey
 FROM orders WHERE o_totalprice > 300000""")
 def attachments_with_lookups(t):
     """Items with scalar lookups, written as joins."""
+    return looked_up(t, t("orders").where("o_totalprice > 300000"))
+
+
+def looked_up(t, orders):
     people = t("customer").join(joins.small(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    big = t("orders").where("o_totalprice > 300000").select("o_orderkey", "o_custkey")
-    return big.join(people.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer"), F.col("n_name").alias("nation")), "o_custkey", "left")
+    return orders.select("o_orderkey", "o_custkey").join(people.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer"), F.col("n_name").alias("nation")), "o_custkey", "left")
+
+
+@query("""
+SELECT o_orderkey, o_custkey, c_name AS customer, n_name AS nation
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def all_attachments_with_lookups(t):
+    """All items with scalar lookups (S8, J1): ``attachments_with_lookups`` takes those over a price."""
+    return looked_up(t, t("orders"))
 
 
 @query("""

@@ -96,6 +96,16 @@ def test_export_takes_all_rows(spark):
     assert found == {3: "x" * 20_000 + "…[13 characters omitted]", 4: "y" * 20_013, 6: "z" * 6_000}
 
 
+def test_all_items_get_lookups(spark):
+    tables_ = {
+        "orders": spark.createDataFrame([(1, 7, 10.0), (2, 7, 400_000.0), (3, 8, 10.0)], "o_orderkey long, o_custkey long, o_totalprice double"),
+        "customer": spark.createDataFrame([(7, "c", 1)], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": spark.createDataFrame([(1, "n")], "n_nationkey int, n_name string"),
+    }
+    found = relational.all_attachments_with_lookups(tables_.get)
+    assert rows(found, "o_orderkey", F.coalesce("customer", F.lit("")), F.coalesce("nation", F.lit(""))) == [(1, "c", "n"), (2, "c", "n"), (3, "", "")]
+
+
 def test_corrupt_json_is_kept(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
     found = tables.json_rows(spark, str(tmp_path), "a int").cache()
