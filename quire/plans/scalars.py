@@ -314,12 +314,15 @@ def span_cover_all_hits(t):
 
 @query("""SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def benchmark_containment(t):
-    """Which texts occur whole in which documents (J12, C14): blocked by an item's longest word, then compared."""
+    """Which texts occur whole in which documents (J12, C14): blocked by an item's longest inner word, then compared; items without one are compared with all."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     # An item's first and last words may be parts of a document's; one within is whole there too.
     inner = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 2, F.greatest(F.lit(0), F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     items = t("benchmark").select("item_id", F.col("text").alias("wanted"), longest.alias("word"))
     docs = t("documents").select("doc_id", "text", F.explode(words(F.col("text"))).alias("word"))
-    met = docs.join(joins.small(items), "word").where(F.contains("text", F.col("wanted"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    blocked = docs.join(joins.small(items), "word").where(F.contains("text", F.col("wanted"))).select("item_id")
+    loose = joins.small(items.where("word IS NULL AND wanted IS NOT NULL").select("item_id", "wanted"))
+    whole = t("documents").select("text").join(loose, F.contains("text", F.col("wanted"))).select("item_id")
+    met = blocked.unionAll(whole).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
     return t("benchmark").select("item_id").join(met, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))

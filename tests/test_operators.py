@@ -106,6 +106,14 @@ def test_all_items_get_lookups(spark):
     assert rows(found, "o_orderkey", F.coalesce("customer", F.lit("")), F.coalesce("nation", F.lit(""))) == [(1, "c", "n"), (2, "c", "n"), (3, "", "")]
 
 
+def test_short_items_are_looked_up(spark):
+    tables_ = {
+        "documents": spark.createDataFrame([(1, "one two three four"), (2, "stone two"), (3, None), (4, "?!")], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(1, "one"), (2, "one two"), (3, "one two three"), (4, "?!"), (5, None), (6, "absent"), (7, "")], "item_id long, text string"),
+    }
+    assert rows(scalars.benchmark_containment(tables_.get), "item_id", "documents") == [(1, 2), (2, 2), (3, 1), (4, 1), (5, 0), (6, 0), (7, 3)]
+
+
 def test_corrupt_json_is_kept(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
     found = tables.json_rows(spark, str(tmp_path), "a int").cache()
