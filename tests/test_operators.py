@@ -114,6 +114,13 @@ def test_short_items_are_looked_up(spark):
     assert rows(scalars.benchmark_containment(tables_.get), "item_id", "documents") == [(1, 2), (2, 2), (3, 1), (4, 1), (5, 0), (6, 0), (7, 3)]
 
 
+def test_blocked_pairs_come_once_with_their_shared_tokens(spark):
+    left = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, None)], "k int, w array<string>")
+    right = spark.createDataFrame([(7, ["b", "a"]), (8, ["a"]), (9, ["d"])], "k int, w array<string>")
+    assert rows(joins.blocked_pairs(left, right, "k", "w"), "left_key", "right_key", "shared") == [(1, 7, 2), (1, 8, 1)]
+    assert rows(joins.blocked_pairs(left, right, "k", "w", 1), "left_key", "right_key", "shared") == [(1, 7, 1)]
+
+
 def test_corrupt_json_is_kept(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
     found = tables.json_rows(spark, str(tmp_path), "a int").cache()
