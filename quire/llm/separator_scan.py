@@ -8,8 +8,10 @@ knows where one began that spans blocks, however many.
 
 Defined cases: ids after the last separator are a document that is not
 ``ended``. Two separators in a row enclose an empty document, which counts its
-separator. An empty file has no documents. Null texts are written as empty
-ones; rows are written in the order they are read, null and repeated doc_ids too.
+separator. An empty file has no documents, an empty table no files. Null texts
+are written as empty ones, very long ones over as many blocks as they fill; rows
+are written in the order they are read, null and repeated doc_ids too. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str | None = None, end:
         uri, written, done = f"{folder}/part-{part:06d}.bin", 0, 0
         with AtomicFile(uri) as out:
             for batch in batches:
-                for text in batch.column(1).cast(pa.binary()).to_pylist():
-                    written += out.write(encode(text) + tail)
+                for text in batch.column(1).cast(pa.binary()):
+                    written += out.write(encode(text.as_py()) + tail)
                 n = batch.num_rows
                 yield pa.record_batch(
                     [pa.array([uri] * n), pa.array([part] * n, pa.int32()), pa.array(np.arange(done, done + n)), batch.column(0), pa.array([written // len(tail)] * n)],

@@ -1,8 +1,8 @@
 """The folder that driver and executors share, and files in it.
 
-Every intermediate result goes below ``spark.checkpoint.dir``. Where a session
-has no such setting (tests, notebooks) one local folder per application is
-used instead. Binary files are opened through ``pyarrow.fs``, so the folder may
+Every intermediate result goes below ``spark.checkpoint.dir``. A session on one
+machine (tests, notebooks) that has no such setting uses one local folder per
+application instead; on a cluster the setting must be there. Binary files are opened through ``pyarrow.fs``, so the folder may
 be ``file:``, ``hdfs:``, ``s3:`` or ``gs:``.
 """
 
@@ -12,9 +12,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _own: dict[str, str] = {}
 
@@ -24,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="quire-")
@@ -48,6 +55,14 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows, through Arrow: rows as Python objects would start more Python workers to read them."""
+    kind = T.StructType.fromDDL(schema)
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kind]
+    arrays = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, kind.names), kind)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

@@ -7,10 +7,11 @@ skippable frame is the seek table of the Zstandard seekable format: compressed
 size, decompressed size and the low 32 bits of XXH64 for each frame. Readers
 fetch the table, then only the frames they want, and check their sums.
 
-Defined cases: null and empty texts are the stop id alone. Null doc_ids come
-first; repeated ones stand in order of their text. An empty table writes no
-frames. Other columns are ignored. A task that runs again writes the same bytes
-under a new temporary name and renames it, so lost executors leave no part files.
+Defined cases: null and empty texts are the stop id alone. Very long texts are
+one frame like others. Null doc_ids come first; repeated ones stand in order of
+their text. An empty table writes no frames. Other columns are ignored. A task
+that runs again writes the same bytes under a new temporary name and renames it,
+so lost executors leave no part files.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import tokenizing
-from quire.llm.storage import AtomicFile, filesystem, make_dir, materialise
+from quire.llm.storage import AtomicFile, filesystem, local_table, make_dir, materialise
 from quire.llm.textcols import text_or_empty
 
 STOP = 1
 LEVEL = 3
 #: Fixed values of the Zstandard formats.
 HEAD_MAGIC, IDS_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
-#: Frames that one reading task takes at a time.
-FRAMES = 8192
+#: Frames that one reading task takes, and the packed bytes that it reads at a time (one frame at least).
+FRAMES, READ = 8192, 4 << 20
 SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
 
 
@@ -51,7 +53,7 @@ class FrameFile:
 
     def __init__(self, stream, dtype: str, about: dict):
         self.stream, self.compressor = stream, zstandard.ZstdCompressor(level=LEVEL)
-        self.seek: list[tuple[int, int, int]] = []
+        self.seek = array("I")
         self.size = self._put(skippable(HEAD_MAGIC, json.dumps({"dtype": dtype} | about).encode()))
 
     def _put(self, data: bytes) -> int:
@@ -60,7 +62,7 @@ class FrameFile:
 
     def add(self, ids: bytes) -> None:
         packed = self.compressor.compress(ids)
-        self.seek.append((len(packed), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
+        self.seek.extend((len(packed), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.size += self._put(packed)
 
     def close(self, doc_ids: pa.Array) -> int:
@@ -68,7 +70,7 @@ class FrameFile:
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", doc_ids.type)])) as out:
             out.write_batch(pa.record_batch([doc_ids], names=["doc_id"]))
         self.size += self._put(skippable(IDS_MAGIC, sink.getvalue().to_pybytes()))
-        table = np.array(self.seek, dtype=SEEK).tobytes() + struct.pack("<IBI", len(self.seek), 0x80, SEEK_END)
+        table = np.array(self.seek, dtype="<u4").tobytes() + struct.pack("<IBI", len(self.seek) // 3, 0x80, SEEK_END)
         return self.size + self._put(skippable(SEEK_MAGIC, table))
 
 
@@ -97,12 +99,15 @@ class FrameReader:
         return pa.ipc.open_stream(self.file.read_at(length, at + 8)).read_all()["doc_id"].combine_chunks()
 
     def ids(self, first: int, count: int = 1) -> Iterator[np.ndarray]:
-        """The ids of ``count`` documents from the ``first`` on."""
-        start = int(self.at[first])
-        data = memoryview(self.file.read_at(int(self.at[first + count]) - start, start))
+        """The ids of ``count`` documents from the ``first`` on, read ``READ`` bytes at a time."""
+        start = end = int(self.at[first])
         for k in range(first, first + count):
-            a = int(self.at[k]) - start
-            out = self.plain.decompress(data[a : a + int(self.seek["packed"][k])], max_output_size=int(self.seek["plain"][k]))
+            a, b = int(self.at[k]), int(self.at[k + 1])
+            if b > end:
+                last = int(np.searchsorted(self.at[: first + count + 1], a + READ, side="right")) - 1
+                start, end = a, int(self.at[max(last, k + 1)])
+                data = memoryview(self.file.read_at(end - start, start))
+            out = self.plain.decompress(data[a - start : b - start], max_output_size=int(self.seek["plain"][k]))
             if xxhash.xxh64_intdigest(out) & 0xFFFFFFFF != self.seek["sum"][k]:
                 raise ValueError(f"frame {k} doesn't have its sum")
             yield np.frombuffer(out, dtype=self.dtype)
@@ -112,6 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, sto
     """Write ``docs`` (doc_id, text) to files in ``folder``; one row of file, part, docs and tokens for each file.
 
     Parts are ranges of doc_id, so their order and that within them is ascending.
+    Any file of the tokenizers library serves.
     """
     tokenizer = tokenizer or tokenizing.default_path()
     dtype = tokenizing.id_type(tokenizer)
@@ -126,10 +132,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, sto
             out = FrameFile(stream, dtype, {"stop": stop, "tokenizer": tokenizer.rpartition("/")[2]})
             kind = None
             for batch in batches:
-                ids.append(batch.column(0))
                 kind = batch.column(0).type
-                for text in batch.column(1).cast(pa.binary()).to_pylist():
-                    data = encode(text) + end
+                ids.append(pa.array(batch.column(0).to_pylist(), kind))  # a slice would keep the whole batch alive
+                for text in batch.column(1).cast(pa.binary()):
+                    data = encode(text.as_py()) + end
                     tokens += len(data) // len(end)
                     out.add(data)
             out.close(pa.concat_arrays(ids) if ids else pa.array([], kind or pa.int64()))
@@ -168,7 +174,7 @@ def read_tokens(files: DataFrame, doc_id_type: T.DataType) -> DataFrame:
                 )
 
     schema = T.StructType([T.StructField("doc_id", doc_id_type)] + [T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32")])
-    table = spark.createDataFrame(blocks, "file string, start long, first long, count long")
+    table = local_table(spark, blocks, "file string, start long, first long, count long")
     return table.repartition(max(1, len(blocks))).mapInArrow(read, schema)
 
 

@@ -394,6 +394,25 @@ def test_memo_tokenizer_gives_the_librarys_ids(docs, spark, small):
         assert np.frombuffer(memo.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    memo, library = tokenizing.MemoTokenizer(path, "<u2"), Tokenizer.from_file(path)
+    assert not memo.apart
+    for text in ("", "Hello World, two words", " a  b\n", "é 日本"):
+        assert np.frombuffer(memo.encode(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memos_are_bounded_and_keep_what_is_in_use():
+    made = []
+    memo = tokenizing.Memo(lambda k: made.append(k) or k * 2, most=3 * (tokenizing.ENTRY + 3))
+    for k in (b"a", b"b", b"a", b"c", b"d", b"a", b"e"):
+        assert memo[k] == k * 2
+    assert made == [b"a", b"b", b"c", b"d", b"e"] and len(memo) + len(memo.older) <= 6
+
+
 def test_token_files(spark, docs, nothing):
     folder = storage.scratch(spark, "tokens")
     files = token_output.write_tokens(docs, folder)
