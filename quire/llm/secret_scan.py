@@ -6,26 +6,33 @@ the spans found. A run scans only the pairs that the ledger lacks, appends
 them, and joins the findings back to every path and version with that content.
 
 Everything is DataFrame code. Scan order is ``rules`` order; a rule whose
-pattern changes gets a new version and is then scanned again, alone.
+pattern changes gets a new version and is then scanned again, alone. Only texts
+with something left to scan are shuffled, once, by their blob; where these are
+no more than ``BROADCAST_BLOBS`` their blobs are sent to the tasks that read the
+texts, so that the others don't move at all.
 
 Defined cases: null text is the empty text, with no findings. Null paths and
-versions are ordinary values. Repeated rows are each returned; their content is
-scanned once. Empty inputs return no rows and leave the ledger as it was.
-Columns other than path, version and text are ignored.
+versions are ordinary values. Repeated rows, and rows that share path and
+version with others, are each returned; their content is scanned once. Very long
+texts are scanned whole. Empty inputs return no rows and leave the ledger as it
+was. Columns other than path, version and text are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.storage import scratch
+from quire.llm.storage import has_files, materialise
 from quire.llm.textcols import text_or_empty
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
+#: About 200 bytes each in memory: 40 MB.
+BROADCAST_BLOBS = 200_000
 LEDGER = f"blob string, rule string, spans {SPANS}"
 
 
@@ -76,12 +83,21 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    """All scanned pairs. Batches that scanned the same pair at the same time agree, so either row does."""
+    """All scanned pairs; none where nothing was scanned yet. Batches that scanned the same pair at the same time agree, so either row does."""
+    if not has_files(ledger):
+        return spark.createDataFrame([], LEDGER)
     batches = spark.read.schema(LEDGER).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
     return batches.parquet(ledger).dropDuplicates(["blob", "rule"])
 
 
-def scan_versions(versions: DataFrame, ledger: str, rules: Sequence[Rule] = BASE_RULES) -> DataFrame:
+def unseen(paths: DataFrame, known: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """The blobs of ``paths`` that lack rules in ``known``, with these as ``todo``."""
+    seen = known.where(F.col("rule").isin(*wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    lacking = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("seen", F.array().cast("array<string>")))
+    return paths.select("blob").distinct().join(seen, "blob", "left").select("blob", lacking.alias("todo")).where(F.size("todo") > 0)
+
+
+def scan_versions(versions: DataFrame, ledger: str, rules: Sequence[Rule] = BASE_RULES, most: int = BROADCAST_BLOBS) -> DataFrame:
     """Scan ``versions`` (path, version, text) and return all their findings.
 
     ``ledger`` is a folder that all machines reach; it is made if absent. The
@@ -89,70 +105,42 @@ def scan_versions(versions: DataFrame, ledger: str, rules: Sequence[Rule] = BASE
     end, ordered by start and then by the rules' order.
     """
     spark = versions.sparkSession
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(f"{ledger}/start")
     text = text_or_empty(F.col("text"))
     paths = versions.select("path", "version", F.sha2(text, 256).alias("blob"))
     wanted = [r.key for r in rules]
-    known = read_ledger(spark, ledger).where(F.col("rule").isin(wanted))
-
-    seen = known.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    todo = (
-        paths.groupBy("blob")
-        .agg(F.min(F.struct("path", "version")).alias("holder"))
-        .join(seen, "blob", "left")
-        .select("holder", F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
-        .where(F.size("todo") > 0)
-        .select(F.col("holder.path").alias("h_path"), F.col("holder.version").alias("h_version"), "todo")
-    )
-    held = versions.select("path", "version", text.alias("text"))
-    met = held.join(todo, held["path"].eqNullSafe(todo["h_path"]) & held["version"].eqNullSafe(todo["h_version"]))
-    each = F.array(
-        *(
-            F.when(
-                F.array_contains("todo", r.key),
-                F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("text"), r).alias("spans")),
-            )
-            for r in rules
+    todo = materialise(unseen(paths, read_ledger(spark, ledger), wanted), "unseen-blobs")
+    left = todo.limit(most + 1).count()
+    if left:
+        held = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+        if left <= most:
+            held = held.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+        # Copies fold into one text before and after the shuffle, so each blob is scanned once.
+        once = held.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+        each = F.array(
+            *(F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("text"), r).alias("spans"))) for r in rules)
         )
-    )
-    scanned = met.select(F.sha2("text", 256).alias("blob"), F.inline(F.array_compact(each)))
-    scanned.write.parquet(scratch_batch(ledger, spark))
+        scanned = once.select("blob", F.array_compact(each).alias("scanned")).select("blob", F.inline("scanned"))
+        scanned.write.parquet(f"{ledger}/batch-{uuid.uuid4().hex}")
 
     order = {r.key: i for i, r in enumerate(rules)}
     kinds = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.kind)))
     ranks = F.create_map(*(F.lit(x) for r in rules for x in (r.key, order[r.key])))
+
+    def placed(x: Column) -> Column:
+        return F.transform(x["spans"], lambda s: F.struct(s["start"].alias("start"), ranks[x["rule"]].alias("rank"), s["end"].alias("end"), kinds[x["rule"]].alias("kind")))
+
+    ordered = F.sort_array(F.flatten(F.transform("by_rule", placed)))
     found = (
         read_ledger(spark, ledger)
-        .where(F.col("rule").isin(wanted) & (F.size("spans") > 0))
+        .where(F.col("rule").isin(*wanted) & (F.size("spans") > 0))
         .groupBy("blob")
         .agg(F.collect_list(F.struct("rule", "spans")).alias("by_rule"))  # one entry for each rule
-        .select(
-            "blob",
-            F.transform(
-                F.sort_array(
-                    F.flatten(
-                        F.transform(
-                            "by_rule",
-                            lambda x: F.transform(
-                                x["spans"],
-                                lambda s: F.struct(s["start"].alias("start"), ranks[x["rule"]].alias("rank"), s["end"].alias("end"), kinds[x["rule"]].alias("kind")),
-                            ),
-                        )
-                    )
-                ),
-                lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-            ).alias("findings"),
-        )
+        .select("blob", F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("findings"))
     )
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return paths.join(found, "blob", "left").select("path", "version", "blob", F.coalesce("findings", none).alias("findings"))
 
 
-def scratch_batch(ledger: str, spark: SparkSession) -> str:
-    """A folder for the next batch within the ledger."""
-    return f"{ledger}/{scratch(spark, 'batch').rpartition('/')[2]}"
-
-
 def spans_text(findings: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

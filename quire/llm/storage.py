@@ -17,6 +17,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -55,6 +56,11 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with a broadcast hint if a count shows them to be no more than ``most``; take written tables, they are read twice."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small table of the driver's rows, through Arrow: rows as Python objects would start more Python workers to read them."""
     kind = T.StructType.fromDDL(schema)
@@ -72,6 +78,12 @@ def make_dir(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
+def has_files(uri: str) -> bool:
+    """Whether a folder is there and has something in it."""
+    fs, path = filesystem(uri)
+    return bool(fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)))
+
+
 class AtomicFile:
     """An output stream whose file appears under its name only when whole.
 
