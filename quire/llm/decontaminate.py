@@ -1,20 +1,27 @@
 """Benchmark decontamination: a prefix-filtered set join with exact verification.
 
 Each item's text is cut into windows of ten consecutive words (an item of fewer
-words is one window), each window into shingles of up to four words. A document
+words is one window), each window into shingles of up to four words. A text
 contains a window only if it contains all its shingles, so for containment 1
 the necessary prefix of a window, with shingles ordered by rarity in the
-documents, is its single rarest shingle. One pass over the documents collects
-their occurrences of benchmark shingles with the words around each; from these
-come the rarity counts, the join on prefix shingles, the length and positional
-bounds, and the word-by-word check of the whole window.
-
-Everything is DataFrame code. The benchmark's shingles are broadcast up to
-``BROADCAST_SHINGLES`` of them, by count; beyond that both sides are shuffled.
-
-Defined cases: null texts have no words. Items without words have no window.
-Repeated and null document ids are judged row by row; repeated item ids count
-once, a null item id as ``null``. Either table may be empty.
+documents, is its single rarest shingle.
+
+One pass counts how often the benchmark's shingles occur in all documents; it
+keeps no more than a count for each. A second one joins the prefix shingles
+alone, with their places; those whose window would reach over an end of the text
+are dropped. Only texts with such places are read again, for the words of these
+windows, which are then compared with the benchmark's word by word. Texts are
+known by their SHA-256, so that copies are judged once and results reach every
+row with that text.
+
+Everything is DataFrame code. Tables of hashes, places and results are broadcast
+up to ``BROADCAST_ROWS`` rows, by count; beyond that both sides are shuffled.
+
+Defined cases: null and empty texts have no words. Items without words have no
+window. Very long texts are treated like others. Rows with equal texts are
+judged alike, whatever their ids: null and repeated doc_ids make no difference.
+Repeated item ids count once, a null item id as ``null``. Either table may be
+empty. Other columns are ignored, or kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -22,20 +29,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.storage import materialise
-from quire.llm.textcols import SEPARATORS, ascii_lower, let, pieces, text_or_empty
+from quire.llm.storage import few, materialise
+from quire.llm.textcols import SEPARATORS, ascii_lower, pieces, text_or_empty
 
 WINDOW = 10
 SHINGLE = 4
-#: About 150 bytes each in memory: 45 MB at most.
-BROADCAST_SHINGLES = 300_000
-WHOLE = "array<string>"
+#: Rows of two numbers and a hash of 32 bytes at most: 40 MB.
+BROADCAST_ROWS = 300_000
+NO_ITEMS = "array<string>"
 
 
 def words_of(text: Column) -> Column:
     return pieces(ascii_lower(text_or_empty(text)), SEPARATORS)
 
 
+def key_of(text: Column) -> Column:
+    """What stands for a text in joins."""
+    return F.unhex(F.sha2(text_or_empty(text), 256))
+
+
 def _runs(words: Column, width: Column | int) -> Column:
     """Every run of ``width`` words; ``width`` is at most the number of words."""
     width = F.lit(width) if isinstance(width, int) else width
@@ -55,98 +67,73 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     return wins, materialise(cut.join(wins, "win").select("wid", "item"), "window-items")
 
 
-def _hash(words: Column, at: Column, width: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + j) for j in range(width)))
-
-
-def _hashes(words: Column, width: int) -> Column:
-    return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: _hash(w, i, width)))
-
+def window_shingles(wins: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The shingles of windows: wid, size, width, off (words before it in the window), h."""
+    width = F.least(F.size("win"), F.lit(shingle))
+    cut = wins.select("wid", F.size("win").alias("size"), width.alias("width"), F.posexplode(_runs(F.col("win"), width)).alias("off", "run"))
+    h = F.lit(None).cast("bigint")
+    for w in range(1, shingle + 1):
+        h = F.when(F.col("width") == w, F.xxhash64(*(F.get("run", j) for j in range(w)))).otherwise(h)
+    return cut.select("wid", "size", "width", "off", h.alias("h"))
 
-def shingle_occurrences(docs: DataFrame, shingles: DataFrame, widths: list[int], small: bool, window: int = WINDOW) -> DataFrame:
-    """Where documents have one of ``shingles`` (sid, width, run, h), with the words around.
 
-    Each document also gives one row with sid -1 and pos -1. ``pos`` and ``at``
-    count words from 0; ``near`` are the words from ``at`` on, enough to hold any
-    window with the shingle in it.
-    """
-    read = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words")
-    )
-    empty = F.array().cast("array<bigint>")
-    parts = []
-    for width in widths or [SHINGLE]:
-        hashes = F.when(F.size("words") >= width, _hashes(F.col("words"), width)).otherwise(empty)
-        mark = F.array(F.lit(0).cast("bigint")) if not parts else empty
-        shift = 0 if parts else 1
-        each = read.select("row", "doc_id", "words", F.posexplode(F.concat(mark, hashes)).alias("pos", "h"))
-        each = each.withColumn("pos", F.col("pos") - shift)
-        own = shingles.where(F.col("width").isin(width, *([0] if not parts else [])))
-        reach = window - width
-        at = F.greatest(F.lit(0), F.col("pos") - reach)
-        near = F.when(F.col("pos") >= 0, F.slice("words", at + 1, F.lit(window + reach)))
-        run = F.when(F.col("pos") >= 0, F.slice("words", F.greatest(F.lit(0), F.col("pos")) + 1, F.lit(width)))
-        if small:
-            met = each.join(F.broadcast(own), "h")
-        else:
-            each = each.select("row", "doc_id", F.size("words").alias("n"), "pos", "h", at.alias("at"), near.alias("near"), run.alias("found"))
-            met = each.join(own, "h")
-        n_words, near, run, at = (F.size("words"), near, run, at) if small else (F.col("n"), F.col("near"), F.col("found"), F.col("at"))
-        same = F.when(F.col("pos") < 0, F.col("sid") < 0).otherwise((F.col("sid") >= 0) & (run == F.col("run")))
-        parts.append(
-            met.where(same).select(
-                "row", "doc_id", n_words.cast("long").alias("n_words"), F.col("pos").cast("int").alias("pos"), "sid", at.cast("int").alias("at"), near.alias("near")
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """Windows of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text).
+def document_shingles(docs: DataFrame, widths: list[int], *carried: Column) -> DataFrame:
+    """All runs of words of ``widths`` in ``docs``: the ``carried`` columns, n_words, pos and h.
 
-    One row for each row of ``docs``: doc_id, n_words, n_hit (words inside any
-    occurrence), n_items, and items, the ids with occurring windows, sorted as
-    strings. Other columns are ignored.
+    Words next to each other are zipped and taken apart row by row, which Spark
+    compiles into one loop: no row has more than the words of its run.
     """
-    spark = docs.sparkSession
-    wins, has = benchmark_windows(benchmark, window)
-    width = F.least(F.size("win"), F.lit(shingle))
-    cut = wins.select("wid", "win", width.alias("width"), F.posexplode(_runs(F.col("win"), width)).alias("off", "run"))
-    runs = cut.select("run", "width").distinct()
-    hashed = F.lit(None).cast("bigint")
-    for w in range(1, shingle + 1):
-        hashed = F.when(F.col("width") == w, _hash(F.col("run"), F.lit(0), w)).otherwise(hashed)
-    runs = materialise(runs.select(F.monotonically_increasing_id().alias("sid"), "width", "run", hashed.alias("h")), "shingles")
-    counted = {r[0]: r[1] for r in runs.groupBy("width").count().collect()}  # at most one row for each width
-    marker = spark.range(1).select(F.lit(-1).cast("long").alias("sid"), F.lit(0).alias("width"), F.array().cast(WHOLE).alias("run"), F.lit(0).cast("bigint").alias("h"))
-    small = sum(counted.values()) <= broadcast_shingles
-    found = materialise(shingle_occurrences(docs, runs.unionByName(marker), sorted(counted, reverse=True), small, window), "occurrences")
-
-    rarity = found.where("sid >= 0").groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    read = docs.select(*carried, words_of(F.col("text")).alias("w"))
+    names = [f"w{j}" for j in range(max(widths))]
+    zipped = F.arrays_zip(*(F.slice("w", j + 1, F.size("w")).alias(n) for j, n in enumerate(names)))
+    kept = [c for c in read.columns if c != "w"]
+    # Outer, so that the optimiser adds no test of the whole array before.
+    runs = read.select(*kept, F.size("w").alias("n_words"), F.posexplode_outer(zipped).alias("pos", "run"))
+    hashes = [F.when(F.col(f"run.w{n - 1}").isNotNull(), F.xxhash64(*(F.col(f"run.{x}") for x in names[:n]))) for n in widths]
+    h = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))
+    return runs.select(*kept, "n_words", "pos", h.alias("h")).where("h is not null")
+
+
+def occurrences(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Where windows occur: key (of the text), start (words before it), size and wid."""
+    cut = materialise(window_shingles(wins, shingle), "window-shingles")
+    widths = sorted(r[0] for r in cut.select("width").distinct().collect()) or [shingle]  # at most ``shingle`` rows
+    wanted = few(materialise(cut.select("h").distinct(), "shingles"), most)
+    counted = document_shingles(docs, widths).join(wanted, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     # A window with a shingle that no document has cannot occur.
     prefix = (
-        cut.join(runs.select("run", "sid"), "run")
-        .join(rarity, "sid", "left")
-        .groupBy("wid")
-        .agg(F.min(F.struct("n", "off", "sid")).alias("rarest"), F.min(F.col("n").isNotNull()).alias("can"), F.first("win").alias("win"))
+        cut.join(counted, "h", "left")
+        .groupBy("wid", "size")
+        .agg(F.min(F.struct("n", "off", "h")).alias("rarest"), F.min(F.col("n").isNotNull()).alias("can"))
         .where("can")
-        .select("wid", "win", F.col("rarest.off").alias("off"), F.col("rarest.sid").alias("sid"))
+        .select("rarest.h", "rarest.off", "size")
+        .distinct()
     )
-    prefix = materialise(prefix, "prefixes")
-    few = prefix.count() <= broadcast_shingles
+    prefix = few(materialise(prefix, "prefixes"), most)
     start = F.col("pos") - F.col("off")
-    size = F.size("win")
-    held = (
-        found.where("sid >= 0")
-        .join(F.broadcast(prefix) if few else prefix, "sid")
-        .where((start >= 0) & (start + size <= F.col("n_words")))  # positional and length bounds
-        .where(F.slice("near", start - F.col("at") + 1, size) == F.col("win"))
-        .select("row", start.alias("start"), size.alias("size"), "wid")
+    places = (
+        document_shingles(docs, widths, key_of(F.col("text")).alias("key"))
+        .join(prefix, "h")
+        .where((start >= 0) & (start + F.col("size") <= F.col("n_words")))  # positional and length bounds
+        .select("key", start.alias("start"), "size")
+        .distinct()
     )
-    held = materialise(held, "held")
+    places = materialise(places, "places")
+    keys = few(materialise(places.select("key").distinct(), "place-keys"), most)
+    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    by_text = places.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("places"))  # no more than words and sizes of windows
+    words = texts.join(by_text, "key").select("key", "places", words_of(F.col("text")).alias("w"))
+    cuts = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.slice("w", p["start"] + 1, p["size"]).alias("win")))
+    found = words.select("key", cuts.alias("cuts")).select("key", F.inline("cuts"))
+    known = few(wins.select(F.xxhash64("win").alias("hash"), F.col("win").alias("known"), "wid"), most)
+    met = found.withColumn("hash", F.xxhash64("win")).join(known, "hash").where("win = known")
+    return materialise(met.select("key", "start", "size", "wid"), "held")
+
+
+def find_by_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most: int = BROADCAST_ROWS) -> DataFrame:
+    """key, n_hit and items for each text of ``docs`` in which a window of ``benchmark`` occurs."""
+    wins, has = benchmark_windows(benchmark, window)
+    held = occurrences(docs, wins, shingle, most)
 
     def grow(state: Column, x: Column) -> Column:
         end = x["start"] + x["size"]
@@ -154,31 +141,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return F.struct(F.greatest(end, state["end"]).alias("end"), (state["n"] + fresh).alias("n"))
 
     hits = (
-        held.groupBy("row")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))  # no more than a document's words
-        .select("row", F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), grow, lambda s: s["n"].cast("long")).alias("n_hit"))
-    )
-    items = (
-        held.select("row", "wid").distinct()
-        .join(F.broadcast(has) if has.count() <= broadcast_shingles else has, "wid")
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+        held.groupBy("key")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))  # no more than words and sizes of windows
+        .select("key", F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), grow, lambda s: s["n"].cast("long")).alias("n_hit"))
     )
-    return (
-        found.where("sid < 0").select("row", "doc_id", "n_words")
-        .join(hits, "row", "left")
-        .join(items, "row", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-            F.coalesce("items", F.array().cast(WHOLE)).alias("items"),
-        )
+    items = held.select("key", "wid").distinct().join(few(has, most), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return materialise(hits.join(items, "key"), "contaminated")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Windows of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text).
+
+    One row for each row of ``docs``: doc_id, n_words, n_hit (words inside any
+    occurrence), n_items, and items, the ids with occurring windows, sorted as
+    strings.
+    """
+    found = find_by_text(docs, benchmark, window, shingle, most)
+    rows = docs.select("doc_id", key_of(F.col("text")).alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return rows.join(few(found, most), "key", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast(NO_ITEMS)).alias("items"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs."""
-    hit = materialise(find_contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_hit")), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows in whose text a window of the benchmark occurs."""
+    hit = find_by_text(docs, benchmark, most=most).select(F.col("key").alias("_hit"))
+    return docs.withColumn("_text_key", key_of(F.col("text"))).join(few(hit, most), F.col("_text_key") == F.col("_hit"), "left_anti").select(*docs.columns)
