@@ -14,15 +14,20 @@ Only a spanning forest of each shard's links leaves its task. Components come
 from alternating large-star and small-star steps over tables in the shared
 folder, so neither links nor fingerprints meet on the driver.
 
-``similar_roots`` links by likeness of shingle sets instead. Its shards are the
-bands of a MinHash, in which pairs of likeness 0.8 meet with a probability of
-0.9996. The sets of texts that share a band go to its task, and every pair that
-isn't already linked there through others is measured exactly. Hot bands are cut
-into pieces likewise.
+``similar_roots`` links by likeness of sets of five-word shingles. Texts whose
+SimHashes of these sets the trees link are a group of candidates. Likeness 0.8
+still lets SimHashes differ in some ten bits, beyond any radius that trees serve
+well, so texts that share a band of a MinHash are candidates too: pairs of
+likeness 0.8 do so with a probability of 0.9996. Groups with the same members
+count once. The sets of a group's texts go to its task, and every pair that
+isn't already linked there through others is measured exactly. Hot groups are
+cut into pieces likewise.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
-other. Null doc_ids are returned, and are no component's id unless all its
-doc_ids are null. Repeated rows are all returned. Other columns are ignored.
+other. Very long texts are read whole. Null doc_ids are returned, and are no
+component's id unless all its doc_ids are null. Repeated rows are all returned;
+``keep_one`` keeps one of them. Empty tables give no rows. Other columns are
+ignored, or kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -37,14 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.storage import materialise
+from quire.llm.storage import few, materialise
 from quire.llm.textcols import WHITESPACE, ascii_lower, pieces, text_or_empty
 from quire.llm.textcols import shingle_hashes as jvm_shingles
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: For likeness of shingle sets: five words, 0.8, and a MinHash of 20 bands of 5.
 SIMILAR_WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
-#: Keys up to which a table of them is broadcast to the texts; counted first.
+#: Rows up to which a table of keys is broadcast, about 20 MB; counted first.
 BROADCAST_KEYS = 300_000
 PIECE = 4096
 QUERIES = 2048
@@ -239,43 +244,44 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, p
     fps = materialise(fingerprints(docs, width), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), radius, piece))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = materialise(placed.join(named, "root").select("fp", "component_id"), "components")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root")
+    # Only fingerprints with links take part, and only one row for each component is joined back to them.
+    named = materialise(placed.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    of_fp = placed.join(few(named, BROADCAST_KEYS), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return fps.join(materialise(of_fp, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
-def signature(text: bytes, width: int, keys: np.ndarray) -> tuple[int, list[int]]:
-    """Of a text: a hash of its words, and a hash for each band of its MinHash."""
+def signature(text: bytes, width: int, keys: np.ndarray) -> tuple[int, int, list[int]]:
+    """Of a text: a hash of its words, the SimHash of its set of shingles, and a hash for each band of its MinHash."""
     words = text.translate(LOWER).split()
     joined = b" ".join(words)
     own = xxhash.xxh64_intdigest(joined, SEED)
     if not words:
-        return own, [0] * BANDS
-    hashes = shingle_hashes(words, joined, width)
+        return own, 0, [0] * BANDS
+    hashes = np.unique(shingle_hashes(words, joined, width))
     short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(len(keys), 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(short), 4096):
         least = np.minimum(least, (short[at : at + 4096, None] * keys[None, :]).min(axis=0))
-    return own, [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return own, majority(hashes), [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, key (equal for texts of equal words) and bands for each row of ``docs``."""
+    """doc_id, key (equal for texts of equal words), fp and bands for each row of ``docs``."""
     keys = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signature(t, width, keys) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            own = np.array([k for k, _ in found], dtype="<u8").view("<i8")
-            bands = np.array([x for _, b in found for x in b], dtype="<u8").view("<i8")
+            own, fps = (np.array([x[k] for x in found], dtype="<u8").view("<i8") for k in (0, 1))
+            bands = np.array([x for *_, b in found for x in b], dtype="<u8").view("<i8")
             yield pa.record_batch(
-                [batch.column(0), pa.array(own), pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), pa.array(bands))],
-                names=["doc_id", "key", "bands"],
+                [batch.column(0), pa.array(own), pa.array(fps), pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), pa.array(bands))],
+                names=["doc_id", "key", "fp", "bands"],
             )
 
     rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    longs = [T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    longs = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs]))
 
 
@@ -288,11 +294,6 @@ def key_of(text: Column) -> Column:
     return F.xxhash64(F.array_join(words_of(text), " "))
 
 
-def few(keys: DataFrame) -> DataFrame:
-    """``keys`` with a broadcast hint if a count shows them to be few."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def alike(starts: np.ndarray, tokens: np.ndarray, roles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links of a group of sets, enough of them to join what all pairs of ``similarity`` or more join.
 
@@ -324,17 +325,27 @@ def alike(starts: np.ndarray, tokens: np.ndarray, roles: np.ndarray, similarity:
     return found
 
 
+def candidate_groups(distinct: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFrame:
+    """key, shard and n (members of the shard) of all groups of ``distinct`` (key, fp, bands) with two members or more."""
+    roots = components(links(distinct.select("fp").distinct(), radius, piece))
+    trees = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("key", F.xxhash64(F.lit(-1), F.coalesce("root", "fp")).alias("shard"))
+    bands = distinct.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("shard"))
+    keyed = materialise(trees.unionAll(bands), "bands")
+    members = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    shared = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+    once = shared.groupBy("n", "m0", "m1").agg(F.min("shard").alias("shard"))
+    return keyed.join(once.select("shard", "n"), "shard")
+
+
 def similar_links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, piece: int = PIECE) -> DataFrame:
-    """Links (a, b) of keys, whose components are those of all pairs that share a band and are ``similarity`` alike or more.
+    """Links (a, b) of keys, whose components are those of all pairs that share a group and are ``similarity`` alike or more.
 
     ``found`` are the signatures of ``docs``.
     """
-    distinct = found.groupBy("key").agg(F.first("bands").alias("bands"))
-    keyed = materialise(distinct.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("shard")), "bands")
-    shared = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(keyed.join(shared, "shard"), "shared-bands")
+    distinct = materialise(found.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    met = materialise(candidate_groups(distinct, piece=piece), "shared-groups")
     wanted = materialise(met.select("key").distinct(), "met")
-    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(few(wanted), "key").groupBy("key").agg(F.first("text").alias("text"))
+    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(few(wanted, BROADCAST_KEYS), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = materialise(texts.select("key", F.array_distinct(jvm_shingles(words_of(F.col("text")), width)).alias("set")), "shingle-sets")
     last = F.ceil(F.col("n") / piece) - 1
     cut = (
@@ -392,7 +403,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     twice = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key2"), F.col("doc_id").alias("_id2"))
     again = decided.join(twice, (F.col("_key") == F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
     decided = materialise(again.select("_key", "_id", "_first", F.col("_key2").isNotNull().alias("_again")), "decided")
-    met = docs.withColumn("_own", key_of(F.col("text"))).join(few(decided), F.col("_own") == F.col("_key"), "left")
+    met = docs.withColumn("_own", key_of(F.col("text"))).join(few(decided, BROADCAST_KEYS), F.col("_own") == F.col("_key"), "left")
     kept = met.where(F.col("_key").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_id"))))
     if not decided.where("_first and _again").limit(1).count():
         return kept.select(*docs.columns)
