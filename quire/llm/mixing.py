@@ -7,39 +7,45 @@ whole blocks of the last pass, and the part of one block that makes the words
 come out. The tree hands the draws to output shards: each node splits the draws
 that each source has in it between its two halves by one multivariate
 hypergeometric draw, so shards are of equal size and every source's quota is
-met exactly. A shard takes the next draws of each source's permuted list, which
-no other shard takes, and orders its documents at random.
-
-The driver holds the weights' table: one row for each source, and per shard and
-source the number of draws. Documents and blocks stay in tables; positions in a
-source come from sums over blocks, and blocks of a hot source are as small as
-others, so no task sees a whole source.
-
-Defined cases: null texts have size 0, and documents of size 0 are taken 0
-words and belong to no draw. A null source is a source, last in order. Null and
-repeated doc_ids are told apart by their text; rows equal in both are drawn
-alike, and their takes come one after another. An empty table gives no rows.
-Other columns pass through untouched.
+met exactly. A node's draws of a source are a range of the source's permuted
+list, its halves' are the two parts of that range, so shards draw disjoint
+blocks. A shard orders its documents at random. What a document gives to the mix
+is the sum of what the shards drew of it.
+
+The driver holds one row for each source and the tree's upper nodes, ``CELLS``
+numbers of draws at most or one for each source; tasks split on from there, each
+below one node, whose random generator depends on its place alone. Documents,
+blocks and draws stay in tables; positions in a source come from sums over
+blocks, and blocks of a hot source are as small as others, so no task sees a
+whole source.
+
+Defined cases: null and empty texts have size 0, and documents of size 0 are
+taken 0 words and belong to no draw. A very long document is a large block,
+and may be cut where its source's quota ends. A null source is a source, last in
+order. Null and repeated doc_ids are told apart by their text; rows equal in
+both are drawn alike, and their takes come one after another. An empty table
+gives no rows. Other columns are ignored, or kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.storage import materialise
+from quire.llm.storage import local_table, materialise
 from quire.llm.textcols import WHITESPACE, text_or_empty, word_count
 
 #: The weights that sources take in turn, the mix's size and the most repeats.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCK_WORDS = 100_000
-#: Draws that a shard aims to have, and the most shards; beyond that shards have more draws.
-SHARD_DRAWS, MOST_SHARDS = 64, 4096
-#: Sources up to which their table is broadcast.
+#: Words and documents that a block aims to have at most, and draws that a shard aims to have.
+BLOCK_WORDS, BLOCK_DOCS, SHARD_DRAWS = 100_000, 10_000, 64
+#: Nodes that the driver splits the tree into at most, and the numbers of draws in them.
+NODES, CELLS = 64, 1_000_000
+#: Sources up to which their table is broadcast: 10 MB.
 BROADCAST_SOURCES = 100_000
 #: Blocks that one prefix sum runs over before sums of such spans are summed in turn.
 SPAN = 4096
@@ -67,19 +73,22 @@ def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, most
     return out
 
 
-def split(draws: np.ndarray, shards: int, seed: int = SEED, path: int = 1) -> np.ndarray:
-    """The draws of each source (column) for each of ``shards`` (row).
+def split(kinds: np.ndarray, draws: np.ndarray, begins: np.ndarray, shards: int, most: int = 1, seed: int = SEED, first: int = 0, path: int = 1) -> Iterator[tuple]:
+    """The nodes of at most ``most`` shards below one with ``draws`` of ``kinds``, which begin at ``begins`` of each kind's list.
 
-    ``path`` numbers the tree's nodes; each has a generator of its own, so any
-    subtree can be made again alone.
+    Gives path, first shard, shards, kinds, draws and begins; kinds without
+    draws are left out. ``path`` numbers the tree's nodes; each has a generator
+    of its own, so any subtree can be made again alone.
     """
-    if shards == 1:
-        return draws[None, :]
+    if shards <= most:
+        yield path, first, shards, kinds, draws, begins
+        return
     left = shards // 2
-    most = int(draws.sum()) * left // shards
-    generator = np.random.default_rng([seed, path])
-    took = _hypergeometric(generator, draws, most)
-    return np.concatenate([split(took, left, seed, 2 * path), split(draws - took, shards - left, seed, 2 * path + 1)])
+    took = _hypergeometric(np.random.default_rng([seed, path]), draws, int(draws.sum()) * left // shards)
+    rest = draws - took
+    a, b = took > 0, rest > 0
+    yield from split(kinds[a], took[a], begins[a], left, most, seed, first, 2 * path)
+    yield from split(kinds[b], rest[b], (begins + took)[b], shards - left, most, seed, first + left, 2 * path + 1)
 
 
 def _hypergeometric(generator: np.random.Generator, draws: np.ndarray, n: int) -> np.ndarray:
@@ -93,6 +102,25 @@ def _hypergeometric(generator: np.random.Generator, draws: np.ndarray, n: int) -
     return out
 
 
+def shard_draws(spark: SparkSession, draws: Sequence[int], shards: int, seed: int = SEED) -> DataFrame:
+    """What each shard draws: kind (the place in ``draws``), shard, begin and n, a range of the kind's list."""
+    counts = np.array(draws, dtype=np.int64)
+    kinds = np.flatnonzero(counts > 0)
+    nodes = max(1, min(NODES, shards, CELLS // max(1, len(kinds))))
+    top = split(kinds, counts[kinds], np.zeros(len(kinds), dtype=np.int64), shards, -(-shards // nodes), seed)
+    rows = [(p, f, n, *(x.tolist() for x in arrays)) for p, f, n, *arrays in top] if len(kinds) else []
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                arrays = [np.array(row[c], dtype=np.int64) for c in ("kinds", "draws", "begins")]
+                for _, shard, _, k, n, begin in split(*arrays, row["shards"], 1, seed, row["first"], row["path"]):
+                    yield pa.record_batch([pa.array(k), pa.array(np.full(len(k), shard)), pa.array(begin), pa.array(n)], names=["kind", "shard", "begin", "n"])
+
+    table = local_table(spark, rows, "path long, first long, shards long, kinds array<long>, draws array<long>, begins array<long>")
+    return table.repartition(max(1, len(rows))).mapInArrow(below, "kind long, shard long, begin long, n long")
+
+
 def _random(seed: int, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
@@ -100,39 +128,29 @@ def _random(seed: int, *columns: Column | str) -> Column:
 def _with_begin(cut: DataFrame) -> DataFrame:
     """The words of a source before each of its blocks, as ``begin``; by sums of spans, so that no task has all blocks of a source."""
     cut = cut.withColumn("span", F.floor(F.col("block") / SPAN))
-    earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("source", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("kind").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("kind", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    spans = cut.groupBy("source", "span").agg(F.sum("block_size").alias("n"))
-    spans = spans.select(F.col("source").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("n").over(earlier), zero).alias("first"))
+    spans = cut.groupBy("kind", "span").agg(F.sum("block_size").alias("n"))
+    spans = spans.select(F.col("kind").alias("k"), F.col("span").alias("p"), F.coalesce(F.sum("n").over(earlier), zero).alias("first"))
     inner = cut.withColumn("inner", F.coalesce(F.sum("block_size").over(within), zero))
-    met = inner.join(spans, inner["source"].eqNullSafe(spans["s"]) & (inner["span"] == spans["p"]))
-    return met.withColumn("begin", F.col("first") + F.col("inner")).drop("s", "p", "first", "inner", "span")
-
-
-def _first_above(ends: str, draw: str, n: int) -> Column:
-    """The first index at which ascending ``ends`` exceed ``draw``, by halving."""
-    steps = [1 << k for k in range(max(0, n - 1).bit_length(), -1, -1)]
-
-    def halve(at: Column, step: Column) -> Column:
-        return F.when(F.get(F.col(ends), at + step - 1) <= F.col(draw), at + step).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+    met = inner.join(spans, (inner["kind"] == spans["k"]) & (inner["span"] == spans["p"]))
+    return met.withColumn("begin", F.col("first") + F.col("inner")).drop("k", "p", "first", "inner", "span")
 
 
 def plan_sources(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[tuple]:
-    """(source, size, target, words, passes, rest) for each source, by code point, null last.
+    """(source, size, docs, target, words, passes, rest) for each source, by code point, null last.
 
     ``words`` is the whole number of words to take: ``passes`` times all and ``rest`` more.
     """
-    found = sized.groupBy("source").agg(F.sum("size")).collect()  # one row for each source
+    found = sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()  # one row for each source
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [r[1] or 0 for r in found]
     turn = [weights[i % len(weights)] for i in range(len(sizes))]
     out = []
     for r, size, target in zip(found, sizes, share_out(sizes, turn, share * sum(sizes), most), strict=True):
         words = min(round(target), int(most * size))
-        out.append((r[0], size, target, words, *(divmod(words, size) if size else (0, 0))))
+        out.append((r[0], size, r[2], target, words, *(divmod(words, size) if size else (0, 0))))
     return out
 
 
@@ -140,52 +158,47 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """What the mix takes of ``docs`` (doc_id, source, text), and in what order.
 
     First result, one row for each document: doc_id, source, sha, size,
-    source_size, target, taken. Second, one row for each time that a document is
-    taken: doc_id, source, sha, pass, words (size but for the documents where
-    quotas end), shard, place. ``sha`` is the text's SHA-256.
+    source_size, target, taken, and shards, which took it, in order of passes.
+    Second, one row for each time that a document is taken: doc_id, source, sha,
+    pass, words (size but for the documents where quotas end), shard, place.
+    ``sha`` is the text's SHA-256.
     """
     spark = docs.sparkSession
     sized = materialise(docs.select("doc_id", "source", F.sha2(text_or_empty(F.col("text")), 256).alias("sha"), word_count(F.col("text")).alias("size")), "sizes")
     plan = plan_sources(sized, weights, share, most)
-    kinds = "source string, source_size long, target double, words long, passes long, rest long"
-    sources = spark.createDataFrame(plan, kinds).withColumnRenamed("source", "s")
+    schema = "kind long, s string, source_size long, docs long, target double, words long, passes long, rest long"
+    sources = local_table(spark, [(k, *row) for k, row in enumerate(plan)], schema)
 
-    # Blocks: ranges of the random order, in number as the source has words.
-    number = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
+    # Blocks: ranges of the random order, in number as the source has words and documents.
+    number = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long")
     order = _random(seed, "source", "doc_id", "sha")
-    few = F.broadcast(sources) if len(plan) <= BROADCAST_SOURCES else sources
     rows = (
-        sized.join(few, F.col("source").eqNullSafe(F.col("s")))
-        .select("doc_id", "source", "sha", "size", "source_size", "target", "passes", "rest", number.alias("blocks"), order.alias("order"))
+        sized.join(F.broadcast(sources) if len(plan) <= BROADCAST_SOURCES else sources, F.col("source").eqNullSafe(F.col("s")))
+        .select("kind", "doc_id", "source", "sha", "size", "source_size", "target", "passes", "rest", number.alias("blocks"), order.alias("order"))
         .withColumn("block", F.floor(F.shiftrightunsigned("order", 11) / F.lit(2.0**53) * F.col("blocks")).cast("long"))
     )
     rows = materialise(rows, "ordered")
-    cut = rows.groupBy("source", "block").agg(
+    cut = rows.groupBy("kind", "block").agg(
         F.sum("size").alias("block_size"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks")
     )
     cut = materialise(_with_begin(cut), "blocks")
 
     # A source's draws are numbered pass by pass, block by block; the rest reaches a first part of the blocks.
-    drawn = cut.select("source", "block", "begin", "blocks", "passes", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"))
+    drawn = cut.select("kind", "block", "begin", "blocks", "passes", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"))
     drawn = drawn.where((F.col("pass") < F.col("passes")) | (F.col("begin") < F.col("rest")))
-    drawn = drawn.withColumn("draw", F.col("pass") * F.col("blocks") + F.col("block"))
-    counts = {r[0]: r[1] + 1 for r in drawn.groupBy("source").agg(F.max("draw")).collect()}  # one row for each source
-    names = [p[0] for p in plan]
-    draws = np.array([counts.get(n, 0) for n in names], dtype=np.int64)
-    shards = max(1, min(MOST_SHARDS, int(draws.sum()) // SHARD_DRAWS))
-    tree = split(draws, shards, seed) if len(names) else np.zeros((1, 0), dtype=np.int64)
-    # A shard's draws of a source are a range of its draw numbers; ``ends`` has where each shard's range ends.
-    ends = np.cumsum(tree, axis=0)
-    ranges = spark.createDataFrame([(n, ends[:, i].tolist()) for i, n in enumerate(names)], "s string, ends array<long>")
-    given = drawn.join(F.broadcast(ranges) if len(plan) * shards <= 1_000_000 else ranges, drawn["source"].eqNullSafe(ranges["s"])).select(
-        drawn["source"].alias("s"), F.col("block").alias("b"), "begin", "pass", _first_above("ends", "draw", shards).alias("shard")
-    )
+    drawn = drawn.select("kind", "block", "begin", "pass", (F.col("pass") * F.col("blocks") + F.col("block")).alias("draw"))
+    counts = {r[0]: r[1] + 1 for r in drawn.groupBy("kind").agg(F.max("draw")).collect()}  # one row for each source
+    draws = [counts.get(k, 0) for k in range(len(plan))]
+    shards = max(1, sum(draws) // SHARD_DRAWS)
+    ranges = shard_draws(spark, draws, shards, seed)
+    each_draw = ranges.select("kind", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)).alias("draw"))
+    given = materialise(drawn.join(each_draw, ["kind", "draw"]).select(F.col("kind").alias("k"), F.col("block").alias("b"), "begin", "pass", "shard"), "draws")
 
     # Documents: where each one's words lie in its source's order.
-    inside = Window.partitionBy("source", "block").orderBy("order", "doc_id", "sha").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("kind", "block").orderBy("order", "doc_id", "sha").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    by_block = given.groupBy("s", "b").agg(F.first("begin").alias("begin"), F.collect_list(F.struct("pass", "shard")).alias("draws"))
-    met = placed.join(by_block, placed["source"].eqNullSafe(by_block["s"]) & (placed["block"] == by_block["b"]), "left")
+    by_block = given.groupBy("k", "b").agg(F.first("begin").alias("begin"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))  # one for each pass
+    met = placed.join(by_block, (F.col("kind") == F.col("k")) & (F.col("block") == F.col("b")), "left")
     rest_words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("begin") - F.col("before")))
 
     def words(p: Column) -> Column:
@@ -195,12 +208,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), words(d["pass"]).alias("words"), d["shard"].alias("shard"))),
         lambda d: d["words"] > 0,
     )
-    none = F.array().cast("array<struct<pass:bigint,words:bigint,shard:int>>")
+    none = F.array().cast("array<struct<pass:bigint,words:bigint,shard:bigint>>")
     held = materialise(
         met.select("doc_id", "source", "sha", "size", "source_size", "target", F.coalesce(took, none).alias("draws")), "taken"
     )
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
-    per_doc = held.select("doc_id", "source", "sha", "size", "source_size", "target", taken.alias("taken"))
+    per_doc = held.select("doc_id", "source", "sha", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("shards"))
     each = held.select("doc_id", "source", "sha", F.inline("draws"))
     return per_doc, each.withColumn("place", _random(seed + 1, "shard", "pass", "source", "doc_id", "sha"))
 
@@ -218,7 +231,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document cut short has its words joined by single spaces and its n_chars, if any, counted anew.
     """
     _, each = mix(docs, **options)
-    each = each.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sha").alias("_sha"), "words", "shard", "place").groupBy("_id", "_source", "_sha").agg(F.collect_list(F.struct(F.col("words").alias("_words"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))).alias("_takes"))
+    takes = F.collect_list(F.struct(F.col("words").alias("_words"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))).alias("_takes")
+    each = each.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sha").alias("_sha")).agg(takes)
     key = docs.select("*", F.sha2(text_or_empty(F.col("text")), 256).alias("_of"))
     repeated = materialise(key.select("doc_id", "source", "_of"), "keys").groupBy("doc_id", "source", "_of").count().where("count > 1")
     if repeated.limit(1).count():

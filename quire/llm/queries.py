@@ -83,9 +83,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a mix of sources by weight takes of each of documents."""
+    """What the shards of a mix of sources by weight take of each of documents."""
     per_doc, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return per_doc.select("doc_id", "size", "source_size", "target", "taken")
+    return per_doc.select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

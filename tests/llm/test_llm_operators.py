@@ -64,6 +64,16 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert secret_scan.read_ledger(spark, ledger).count() == before + before // 3
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_versions_that_share_path_and_number(spark, most):
+    ledger = storage.scratch(spark, "ledger")
+    rows = [("p", 1, f"token: secret{k:06d}") for k in range(300)] + [(None, None, "token: secret000000")] * 5
+    df = spark.createDataFrame(rows, "path string, version int, text string").repartition(5)
+    found = secret_scan.scan_versions(df, ledger, most=most).collect()
+    assert len(found) == 305 and all(len(r["findings"]) == 1 for r in found)
+    assert spark.read.schema(secret_scan.LEDGER).option("recursiveFileLookup", True).parquet(ledger).count() == 900
+
+
 def test_secrets_of_nothing(spark, nothing):
     assert secret_scan.scan_versions(versions(nothing), storage.scratch(spark, "ledger")).count() == 0
 
@@ -198,7 +208,7 @@ ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "A
 @pytest.mark.parametrize("most", [300_000, 0])
 def test_contamination(spark, odd, most):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("row", F.lit(1))
-    got = decontaminate.find_contamination(odd, items, broadcast_shingles=most)
+    got = decontaminate.find_contamination(odd.repartition(3), items, most=most)
     got = got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
     key = lambda r: tuple(map(str, r.values()))
     want = brute.contamination(texts(odd), ITEMS)
@@ -212,6 +222,23 @@ def test_contamination_of_nothing(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, none).count() == odd.count()
 
 
+def test_rows_are_dropped_by_text_not_by_id(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    rows = [(None, f"clean text {k}") for k in range(9)] + [(None, f"x {item}"), (1, "clean"), (1, f"{item} y"), (2, None), (2, "")]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([r for r in rows if not r[1] or "i0" not in r[1]], "doc_id long, text string").collect()))
+
+
+def test_only_whole_windows_within_the_text_are_hits(spark):
+    items = [(k, " ".join(f"a{k} b c d e{k} f g h i{k} j k l m".split())) for k in range(5)]
+    texts = [" ".join(items[k % 5][1].split()[a:b]) for k in range(40) for a, b in [(k % 4, 13 - k % 3)]]
+    docs = list(enumerate([*texts, "b c d " * 40, " ".join(t for _, t in items) * 3]))
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in brute.contamination(docs, items)}
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in got.collect()} == want
+    assert 0 < sum(n > 0 for _, n, _ in want.values()) < len(docs)
+
+
 # Mixing
 
 
@@ -224,11 +251,29 @@ def test_targets(sizes):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 9))
-def test_split_keeps_every_draw(draws, shards):
-    tree = mixing.split(np.array(draws), shards)
-    assert tree.shape == (shards, len(draws)) and (tree >= 0).all() and (tree.sum(axis=0) == draws).all()
-    assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= shards
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 9), st.integers(1, 4))
+def test_split_deals_every_draw_once(draws, shards, most):
+    kinds = np.arange(len(draws))
+    seen, sizes = set(), []
+    for path, first, n, *arrays in mixing.split(kinds, np.array(draws), np.zeros(len(draws), dtype=np.int64), shards, most):
+        for _, _, one, k, d, b in mixing.split(*arrays, n, 1, mixing.SEED, first, path):
+            assert one == 1
+            sizes.append(int(d.sum()))
+            drawn = {(int(i), x) for i, c, at in zip(k, d, b, strict=True) for x in range(at, at + c)}
+            assert not seen & drawn
+            seen |= drawn
+    assert seen == {(i, x) for i, c in enumerate(draws) for x in range(c)}
+    assert len(sizes) == shards and max(sizes) - min(sizes) <= shards
+
+
+def test_shards_are_the_same_whoever_splits(spark, monkeypatch):
+    draws = [300, 0, 7, 55, 120]
+    rows = lambda: sorted(map(tuple, mixing.shard_draws(spark, draws, 37).collect()))
+    one = rows()
+    assert {s for _, s, _, _ in one} == set(range(37)) and sum(n for *_, n in one) == sum(draws)
+    monkeypatch.setattr(mixing, "NODES", 1)
+    assert rows() == one
+    assert mixing.shard_draws(spark, [], 1).count() == mixing.shard_draws(spark, [0], 1).count() == 0
 
 
 def test_mix_takes_what_is_due(spark):
