@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.storage import few, materialise
-from quire.llm.textcols import SEPARATORS, ascii_lower, pieces, text_or_empty
+from quire.llm.textcols import SEPARATORS, SEPARATORS_OF_ANY_CASE, ascii_lower, piece_count, pieces, text_or_empty
 
 WINDOW = 10
 SHINGLE = 4
@@ -44,8 +44,8 @@ def words_of(text: Column) -> Column:
 
 
 def key_of(text: Column) -> Column:
-    """What stands for a text in joins."""
-    return F.unhex(F.sha2(text_or_empty(text), 256))
+    """What stands for a text in joins; never null, so that these need not compute it twice to see that."""
+    return F.coalesce(F.unhex(F.sha2(text_or_empty(text), 256)), F.lit(b""))
 
 
 def _runs(words: Column, width: Column | int) -> Column:
@@ -83,15 +83,15 @@ def document_shingles(docs: DataFrame, widths: list[int], *carried: Column) -> D
     Words next to each other are zipped and taken apart row by row, which Spark
     compiles into one loop: no row has more than the words of its run.
     """
-    read = docs.select(*carried, words_of(F.col("text")).alias("w"))
+    read = docs.select(*carried, words_of(F.col("text")).alias("w")).select("*", F.size("w").alias("n_words"))
     names = [f"w{j}" for j in range(max(widths))]
     zipped = F.arrays_zip(*(F.slice("w", j + 1, F.size("w")).alias(n) for j, n in enumerate(names)))
     kept = [c for c in read.columns if c != "w"]
-    # Outer, so that the optimiser adds no test of the whole array before.
-    runs = read.select(*kept, F.size("w").alias("n_words"), F.posexplode_outer(zipped).alias("pos", "run"))
+    # Outer, so that the optimiser adds no test of the whole array before; nothing after it needs the array.
+    runs = read.select(*kept, F.posexplode_outer(zipped).alias("pos", "run"))
     hashes = [F.when(F.col(f"run.w{n - 1}").isNotNull(), F.xxhash64(*(F.col(f"run.{x}") for x in names[:n]))) for n in widths]
     h = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))
-    return runs.select(*kept, "n_words", "pos", h.alias("h")).where("h is not null")
+    return runs.select(*kept, "pos", h.alias("h")).where("h is not null")
 
 
 def occurrences(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -124,7 +124,7 @@ def occurrences(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, most:
     by_text = places.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("places"))  # no more than words and sizes of windows
     words = texts.join(by_text, "key").select("key", "places", words_of(F.col("text")).alias("w"))
     cuts = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.slice("w", p["start"] + 1, p["size"]).alias("win")))
-    found = words.select("key", cuts.alias("cuts")).select("key", F.inline("cuts"))
+    found = words.select("key", F.inline(cuts))
     known = few(wins.select(F.xxhash64("win").alias("hash"), F.col("win").alias("known"), "wid"), most)
     met = found.withColumn("hash", F.xxhash64("win")).join(known, "hash").where("win = known")
     return materialise(met.select("key", "start", "size", "wid"), "held")
@@ -157,7 +157,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     strings.
     """
     found = find_by_text(docs, benchmark, window, shingle, most)
-    rows = docs.select("doc_id", key_of(F.col("text")).alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", key_of(F.col("text")).alias("key"), piece_count(F.col("text"), SEPARATORS_OF_ANY_CASE).cast("long").alias("n_words"))
     return rows.join(few(found, most), "key", "left").select(
         "doc_id",
         "n_words",

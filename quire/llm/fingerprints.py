@@ -7,9 +7,13 @@ union of sketches, so parts merge in any order. Where a sketch holds fewer than
 has a standard error of at most ``0.5 / sqrt(k)``.
 
 Everything is DataFrame code. Words are runs of characters other than ASCII
-whitespace, as they stand. Fewer than five words are one shingle; an empty or
-null text has the empty sketch, which resembles the empty sketch by 1 and any
-other by 0.
+whitespace, as they stand.
+
+Defined cases: fewer than five words are one shingle; an empty or null text has
+the empty sketch, which resembles the empty sketch by 1 and any other by 0. Very
+long texts are read whole. Null doc_ids come first, repeated ones in order of
+their text; repeated rows are all returned, a row after itself. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,14 +71,18 @@ def printed(a: Column) -> Column:
 def merge_sketches(sketches: DataFrame, keys: list[str], column: str = "sketch", k: int = K) -> DataFrame:
     """One merged sketch for each ``keys``, however many rows a key has.
 
-    Parts are merged by hash value: the distinct (key, hash) rows are ranked
-    within key by an aggregate that holds at most ``k`` values at a time over
-    64 slices of the hash space, so a hot key never meets in one task whole.
+    The distinct hashes of a key are ranked in 64 slices of the hash space, then
+    the ``k`` least of each slice in the key. Ranks up to ``k`` are all that
+    Spark keeps before and after each shuffle, so no task collects more.
     """
-    one = sketches.select(*keys, F.explode(column).alias("h"))
-    sliced = one.withColumn("slice", F.shiftright("h", 58)).groupBy(*keys, "slice").agg(F.collect_set("h").alias("hs"))
-    least = sliced.select(*keys, F.slice(F.sort_array("hs"), 1, k).alias("hs"))
-    merged = least.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("hs"))), 1, k).alias(column))
+    one = sketches.select(*keys, F.explode(column).alias("h")).distinct()
+    sliced = one.withColumn("slice", F.shiftright("h", 58))
+
+    def least(rows: DataFrame, *within: str) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy("h"))).where(F.col("_n") <= k).drop("_n")
+
+    kept = least(least(sliced, *keys, "slice"), *keys)
+    merged = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias(column))  # no more than k
     bare = sketches.select(*keys).distinct()
     met = [bare[c].eqNullSafe(merged[c]) for c in keys]
     return bare.join(merged, met, "left").select(*(bare[c] for c in keys), F.coalesce(merged[column], F.array().cast("array<bigint>")).alias(column))
@@ -116,26 +124,17 @@ def with_next(docs: DataFrame, key: str, carried: list[str], compute: dict[str,
     else:
         bucket = F.lit(0)
     literal = F.array(*map(F.lit, bounds)).cast(f"array<{id_type}>") if bounds else F.array().cast(f"array<{id_type}>")
-    opens = (F.col("_bucket") > 0) & (F.get(literal, F.col("_bucket") - 1) == F.col(key))
+    opens = (F.col("_at") > 0) & (F.get(literal, F.col("_at") - 1) == F.col(key))
     is_first = F.col(key).isNull() if with_null else F.col(key) == F.lit(first)
     place = lambda b, kind: F.struct(b.cast("int").alias("_bucket"), F.lit(kind).alias("_kind"))
-    dealt = (
-        docs.withColumn("_bucket", bucket)
-        .withColumn(
-            "_place",
-            F.array_compact(
-                F.array(
-                    place(F.col("_bucket"), 0),
-                    F.when(opens, place(F.col("_bucket") - 1, 1)),
-                    F.when(is_first, place(F.lit(len(bounds)), 2)),
-                )
-            ),
+    places = F.array_compact(
+        F.array(
+            place(F.col("_at"), 0),
+            F.when(opens, place(F.col("_at") - 1, 1)),
+            F.when(is_first, place(F.lit(len(bounds)), 2)),
         )
-        .drop("_bucket")
-        .select("*", F.inline("_place"))
-        .drop("_place")
-        .repartition("_bucket")
     )
+    dealt = docs.withColumn("_at", bucket).select(*docs.columns, F.inline(places)).repartition("_bucket")
     for name, column in (compute or {}).items():
         dealt = dealt.withColumn(name, column)
     order = Window.partitionBy("_bucket").orderBy(F.col("_kind") == 2, F.col(key).asc_nulls_first(), *carried)

@@ -41,8 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; no two calls give the same."""
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; no two calls give the same. It is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own[folder] = folder
+        atexit.register(remove, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(uri: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: Everything in ASCII that is neither a digit nor a letter a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts that still have capital letters.
+SEPARATORS_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -28,8 +32,12 @@ def text_or_empty(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, all other characters as they are."""
-    plain = F.octet_length(text) == F.char_length(text)
+    """A-Z in lower case, all other characters as they are.
+
+    Characters are looked up one by one, which is slow, only in texts that have
+    capital letters beyond ASCII.
+    """
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(OTHER_CAPITALS)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
@@ -38,9 +46,18 @@ def pieces(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(text_or_empty(text), separators), "")
 
 
+def piece_count(text: Column, separators: str) -> Column:
+    """How many pieces ``pieces`` gives."""
+
+    def inner(found: Column) -> Column:
+        return F.size(found) - (F.get(found, 0) == "").cast("int") - ((F.element_at(found, -1) == "") & (F.size(found) > 1)).cast("int")
+
+    return let(F.split(text_or_empty(text), separators), inner)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII whitespace, as long."""
-    return F.size(pieces(text, WHITESPACE)).cast("long")
+    return piece_count(text, WHITESPACE).cast("long")
 
 
 def shingle_hashes(words: Column, width: int) -> Column:

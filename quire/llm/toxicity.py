@@ -11,16 +11,23 @@ and the transitions.
 Scoring runs forward-backward over every whole text. Tokens without a feature
 all have the same potential, so a run of them is a power of one 2 x 2 matrix,
 and only tokens with features cost a step. A document's score is the chance
-that any of these tokens is toxic; its offending spans are those with a
-marginal of a half or more.
+under the chain that any token with a feature is toxic: one less the weight of
+the paths that are clean at all of them over that of all paths. Its offending
+spans are the tokens with a marginal of a half or more.
 
 The labelled sample is bounded: ``TOXIC`` and ``CLEAN`` documents with the least
-hashes of their doc_id. Documents whose crc32(doc_id) mod 3 is 1 are held out.
+hashes of their doc_id, as many of each as have ``SAMPLE_CHARS`` characters
+together (longer documents are not drawn); whole texts are learnt from. The
+model is bounded to ``MOST_FEATURES``, and of windows without any feature one of
+``PLAIN`` is fitted. Nothing bounds what is scored. Documents whose
+crc32(doc_id) mod 3 is 1 are held out.
 
 Defined cases: null and empty texts score 0, as does everything where no label
-or no toxic label is there to learn from. Of repeated labels for a doc_id the
-largest holds; null labels are none. Null doc_ids are scored and not learned
-from. Repeated rows are scored alike. Other columns pass through or are ignored.
+or no toxic label is there to learn from. Very long texts are scored whole. Of
+repeated labels for a doc_id the largest holds; null labels are none. Null
+doc_ids are scored and not learned from. Ties of hashes go by doc_id, features
+with equal statistics by name. Repeated rows are scored alike. An empty table
+gives no rows. Other columns pass through or are ignored.
 """
 
 from __future__ import annotations
@@ -36,18 +43,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.storage import materialise
 from quire.llm.textcols import text_or_empty
 
-TOXIC, CLEAN = 1000, 5000
+TOXIC, CLEAN, SAMPLE_CHARS = 1000, 5000, 24_000_000
 #: Least distinct contexts, share of toxic ones among them and G-test statistic of a feature.
 CONTEXTS, PURITY, STATISTIC = 6, 0.95, 25.0
 MOST_FEATURES = 5000
-WINDOW, STEPS, RATE, PENALTY = 48, 100, 0.25, 0.02
+WINDOW, PLAIN, STEPS, RATE, PENALTY = 48, 16, 100, 0.25, 0.02
 THRESHOLD, OFFENDING = 0.7, 0.5
 MEMO = 500_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -101,23 +108,30 @@ class Model:
         values = self.values / np.abs(self.values).max()
         return np.real(self.left * values**n @ self.right)
 
-    def marginals(self, places: list[int], lifts: list[float], n: int) -> np.ndarray:
-        """The chance of state 1 for each of the tokens at ``places`` among ``n``."""
+    def marginals(self, places: list[int], lifts: list[float], n: int) -> tuple[np.ndarray, float]:
+        """The chance of state 1 for each of the tokens at ``places`` among ``n``, and that any of them has it."""
         ups = [np.array([1.0, math.exp(min(x, 50.0))]) for x in lifts]
         runs = [b - a for a, b in zip([-1, *places], places, strict=False)]
+        powers = {run: self.power(run) for run in {*runs, n - 1 - places[-1]}}
         alphas, state = [], np.array([1.0, 0.0])  # before the first word stands a clean one
+        # The share of paths that are clean at all places so far, and the weight of state 0 among them.
+        clean = 1.0
         for up, run in zip(ups, runs, strict=True):
-            state = state @ self.power(run) * up
-            state = state / state.sum()
+            move = powers[run]
+            all_paths = state @ move * up
+            clean *= move[0, 0] / all_paths.sum()
+            state = all_paths / all_paths.sum()
             alphas.append(state)
-        beta = self.power(n - 1 - places[-1]) @ np.ones(2)
+        last = powers[n - 1 - places[-1]] @ np.ones(2)
+        clean *= last[0] / (state @ last)
+        beta = last
         out = np.empty(len(places))
         for k in range(len(places) - 1, -1, -1):
             both = alphas[k] * beta
             out[k] = both[1] / both.sum()
-            beta = self.power(runs[k]) @ (ups[k] * beta)
+            beta = powers[runs[k]] @ (ups[k] * beta)
             beta = beta / beta.sum()
-        return out
+        return out, float(min(1.0, max(0.0, 1.0 - clean)))
 
     def judge(self, text: str) -> tuple[float, list[dict]]:
         """Score and offending spans (start, end, p) of a text."""
@@ -127,8 +141,7 @@ class Model:
         if not any(lifts):
             return 0.0, []
         places = [i for i, x in enumerate(lifts) if x]
-        p = self.marginals(places, [lifts[i] for i in places], len(words))
-        score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+        p, score = self.marginals(places, [lifts[i] for i in places], len(words))
         bad = {i for i, x in zip(places, p, strict=True) if x >= OFFENDING}
         chance = dict(zip(places, p.tolist(), strict=True))
         found = enumerate(WORDS.finditer(text)) if len(lowered) == len(text) else enumerate(WORDS.finditer(lowered))
@@ -188,8 +201,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
             marks.append(memo[word])
         for at in range(0, len(marks), WINDOW):
             cut = marks[at : at + WINDOW]
-            # Windows without features say little; one of 16 stands for them.
-            if any(cut) or (at // WINDOW) % 16 == 0:
+            # Windows without features say little; one of ``PLAIN`` stands for them.
+            if any(cut) or (at // WINDOW) % PLAIN == 0:
                 rows.append(cut)
                 labels.append(label)
     n = len(rows)
@@ -256,12 +269,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """A model from the labelled ``docs`` (doc_id, text) that aren't held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
-    sample = materialise(drawn[0].unionAll(drawn[1]), "toxicity-sample")  # no more rows than ``toxic`` and ``clean`` allow
+    sized = docs.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("n"))
+    sized = sized.where(F.col("n") <= sample_chars)
+    drawn = [known.where(F.col("toxic") == y).join(sized, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    # No more rows than ``toxic`` and ``clean`` allow, so that one window holds those of a label.
+    before = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    within = drawn[0].unionAll(drawn[1]).withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= sample_chars)
+    sample = materialise(within.select("doc_id", "toxic"), "toxicity-sample")
     met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,10 +10,17 @@ A URL's candidates are its host and each parent domain, alone and with every
 length of path start that the list has. The longest key that fits decides;
 ``listed`` keys only give the verdict where no rule fits.
 
+Up to ``OPEN_SHARDS`` shards are mapped by every worker, next to the pages. Of a
+larger index each shard is mapped by one task: the distinct hosts and paths send
+their candidates to the shards of their digests, and what fits is joined back.
+
 Defined cases: a null URL, or one without ``://``, has an empty host and path
-and no rule. Of equally long keys the one with the longer host decides. Keys
-repeated in a list count once, ``block`` before ``allow`` before ``listed``. An
-empty list allows everything. Repeated and null page_ids are returned as they are.
+and no rule. Very long URLs have as many candidates as labels and lengths of
+path starts in the list. Of equally long keys the one with the longer host
+decides. Keys repeated in a list count once, ``block`` before ``allow`` before
+``listed``. An empty list allows everything, an empty table gives no rows.
+Repeated rows and null page_ids are returned as they are. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.storage import AtomicFile, filesystem, make_dir, materialise, read_bytes
+from quire.llm.storage import AtomicFile, filesystem, local_table, make_dir, materialise, read_bytes
 
 ACTIONS = ("block", "allow", "listed")
 #: Keys in a shard: at 40 bytes a key, about 60 MB mapped.
 SHARD_KEYS = 1_000_000
+#: Shards that a worker maps at most: 500 MB of a shared page cache, or of its own memory where the folder isn't local.
+OPEN_SHARDS = 8
 #: The rules (host, path start, what it does) and the listed hosts.
 RULES = (
     ("org", "/", "allow"),
@@ -53,7 +62,7 @@ LISTED = tuple(
 
 def default_list(spark: SparkSession) -> DataFrame:
     rows = [(h, p, a) for h, p, a in RULES] + [(h, "", "listed") for h in LISTED]
-    return spark.createDataFrame(rows, "host string, path string, action string")
+    return local_table(spark, rows, "host string, path string, action string")
 
 
 def host_of(url: Column) -> Column:
@@ -134,23 +143,29 @@ class Shard:
         return out
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=OPEN_SHARDS)
 def _open(folder: str, shard: int) -> Shard:
     return Shard(f"{folder}/shard-{shard:05d}")
 
 
+def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
+    """The keys that may fit a URL."""
+    labels = host.split(".")
+    for i in range(len(labels)):
+        parent = ".".join(labels[i:])
+        if parent:
+            for length in lengths:
+                if length <= len(path):
+                    yield f"{parent}\n{path[:length]}"
+
+
 def judge(rows: list[tuple[str, str]], about: dict) -> list[tuple[str | None, str]]:
     """Rule (or None) and verdict for each host and path."""
     keys, owners = [], []
     for n, (host, path) in enumerate(rows):
-        labels = host.split(".")
-        for i in range(len(labels)):
-            parent = ".".join(labels[i:])
-            if parent:
-                for length in about["lengths"]:
-                    if length <= len(path):
-                        keys.append(f"{parent}\n{path[:length]}")
-                        owners.append(n)
+        own = list(candidates(host, path, about["lengths"]))
+        keys += own
+        owners += [n] * len(own)
     full = [k.encode() for k in keys]
     digests = np.array([xxhash.xxh64_intdigest(k) for k in full], dtype="<u8")
     ranks = np.full(len(full), -1, dtype=np.int64)
@@ -170,6 +185,39 @@ def judge(rows: list[tuple[str, str]], about: dict) -> list[tuple[str | None, st
     return [best[n][1:] if n in best else (None, "block" if n in listed else "allow") for n in range(len(rows))]
 
 
+def by_shard(rows: DataFrame, about: dict) -> DataFrame:
+    """``rows`` (with host and path) with rule and verdict; each shard is searched by the tasks that its candidates go to."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, p, k, xxhash.xxh64_intdigest(k.encode())) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in candidates(h, p, about["lengths"])]
+            h, p, k, d = zip(*found, strict=True) if found else ([], [], [], [])
+            digests = np.array(d, dtype="<u8")
+            shards = (digests % np.uint64(about["shards"])).astype(np.int32)
+            yield pa.record_batch([pa.array(h, pa.string()), pa.array(p, pa.string()), pa.array(k, pa.string()), pa.array(digests.view("<i8")), pa.array(shards)], names=["host", "path", "key", "digest", "shard"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards, digests = batch.column(4).to_numpy(), batch.column(3).to_numpy().view("<u8")
+            keys = [k.encode() for k in batch.column(2).to_pylist()]
+            ranks = np.full(len(keys), -1, dtype=np.int64)
+            for shard in np.intersect1d(shards, about["present"]).tolist():
+                mine = np.flatnonzero(shards == shard)
+                ranks[mine] = _open(about["folder"], shard).find(digests[mine], [keys[k] for k in mine])
+            hit = pa.array(ranks >= 0)
+            yield pa.record_batch([*(c.filter(hit) for c in batch.columns[:3]), pa.array(ranks[ranks >= 0].astype(np.int32))], names=["host", "path", "key", "rank"])
+
+    sites = rows.where("host <> ''").select("host", "path").distinct()
+    asked = sites.mapInArrow(spread, "host string, path string, key string, digest long, shard int")
+    found = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(probe, "host string, path string, key string, rank int")
+    action = F.get(F.array(*map(F.lit, ACTIONS)), F.col("rank"))
+    length, own = F.char_length("key") - 1, F.instr("key", "\n") - 1
+    rule = F.max(F.when(action != "listed", F.struct(length.alias("n"), own.alias("h"), F.regexp_replace("key", "\n", "").alias("rule"), action.alias("action")))).alias("best")
+    decided = found.groupBy("host", "path").agg(rule, F.max(action == "listed").alias("listed"))
+    verdict = F.when(F.col("best").isNotNull(), F.col("best.action")).when(F.col("listed"), "block").otherwise("allow")
+    return rows.join(decided, ["host", "path"], "left").select(*rows.columns, F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+
+
 def filter_urls(pages: DataFrame, about: dict) -> DataFrame:
     """page_id, host, path, rule and verdict for each row of ``pages`` (page_id, url)."""
 
@@ -182,5 +230,7 @@ def filter_urls(pages: DataFrame, about: dict) -> DataFrame:
             )
 
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if about["shards"] > OPEN_SHARDS:
+        return by_shard(rows, about)
     strings = [T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]
     return rows.mapInArrow(run, T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), *strings]))

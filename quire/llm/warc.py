@@ -7,9 +7,10 @@ equal payloads are stored once: that with the largest page_id as a response,
 the others as revisits that refer to it.
 
 Defined cases: null html is the empty payload, which is deduplicated like any
-other unless ``least`` forbids. Null page_ids are never larger than another. A
-page_id that occurs on several rows is one record for each payload that it has.
-An empty table writes no archives. Other columns are ignored.
+other unless ``least`` forbids. Very long payloads are records like others. Null
+page_ids are never larger than another. Every row is a record: of rows equal in
+page_id and payload, where that is the group's largest page_id, all are
+responses. An empty table writes no archives. Other columns are ignored.
 """
 
 from __future__ import annotations

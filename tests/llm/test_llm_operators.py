@@ -178,16 +178,25 @@ def test_marginals_match_the_plain_chain():
     lifts = [0.0, 4.0, 0.0, 0.0, 4.0, 4.0, 0.0]
     step = np.exp(model.moves)
     best = np.zeros(len(lifts))
-    total = 0.0
+    total, clean = 0.0, 0.0
     for path in np.ndindex(*[2] * len(lifts)):
         weight, before = 1.0, 0
         for s, x in zip(path, lifts, strict=True):
             weight *= step[before, s] * (np.exp(-3.0 + x) if s else 1.0)
             before = s
         total += weight
+        clean += weight * (not any(s for s, x in zip(path, lifts, strict=True) if x))
         best += weight * np.array(path)
     places = [i for i, x in enumerate(lifts) if x]
-    assert np.allclose(model.marginals(places, [4.0] * 3, len(lifts)), (best / total)[places])
+    p, score = model.marginals(places, [4.0] * 3, len(lifts))
+    assert np.allclose(p, (best / total)[places]) and np.isclose(score, 1 - clean / total)
+
+
+def test_the_sample_is_bounded_by_documents_and_characters(spark):
+    docs = spark.createDataFrame([(i, "bad word " * 10 if i % 2 else "good word " * 10) for i in range(90)] + [(1000, "x " * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(1000, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is not None
+    assert toxicity.train(docs, labels, sample_chars=80) is None  # no document is so short
 
 
 def test_toxicity_of_odd_tables(spark, odd, nothing):
@@ -496,7 +505,9 @@ def test_single_frames_and_broken_sums(tmp_path):
 URLS = [None, "", "no scheme", "http://example.org/en/1?x", "https://A.Example.ORG/es/", "x://org/", "http://org", "http://org?/x", "http://b.com/fr/1", "http://com/de/#/fr/", "http://www.spam-farm.example.com/x", "http://spam-farm.example.com/fr/x", "http://notexample.org/en/1", "a://b://org/"]
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("shards", [8, 0])
+def test_urls(spark, monkeypatch, shards):
+    monkeypatch.setattr(url_filter, "OPEN_SHARDS", shards)
     df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("host", F.lit("h"))
     about = url_filter.build_index(url_filter.default_list(spark), storage.scratch(spark, "urls"))
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.filter_urls(df, about).collect()}
@@ -504,7 +515,9 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.where("page_id < 0"), about).count() == 0
 
 
-def test_urls_with_many_shards_and_without_keys(spark):
+@pytest.mark.parametrize("shards", [8, 2])
+def test_urls_with_many_shards_and_without_keys(spark, monkeypatch, shards):
+    monkeypatch.setattr(url_filter, "OPEN_SHARDS", shards)
     keys = spark.createDataFrame([(f"h{i}.net", "/" if i % 2 else "", "block" if i % 3 else "allow") for i in range(200)] + [("h1.net", "/", "allow")], "host string, path string, action string")
     about = url_filter.build_index(keys, storage.scratch(spark, "urls"), shard_keys=30)
     assert about["shards"] == 7

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import brute
 import oracle
 import pytest
@@ -36,6 +38,35 @@ def test_brute(spark, small):
     assert counted == {k: n for k, (_, n, _) in got.items()}
 
 
+def test_toxicity_query_is_right_on_held_out_documents(spark, small):
+    import zlib
+
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    rows = queries.op4_toxicity(spark, small).collect()
+    assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+    judged = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert sum(p == y for p, y in judged) >= 0.9 * len(judged)
+
+
+def test_mixing_query_takes_what_is_due(spark, small):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    size = {k: len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]) for k, r in docs.items()}
+    names = sorted({r["source"] for r in docs.values()}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(size[k] for k, r in docs.items() if r["source"] == n) for n in names]
+    due = dict(zip(names, brute.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2.0), strict=True))
+    rows = queries.op6_mixing(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    taken = dict.fromkeys(names, 0)
+    for r in rows:
+        source = docs[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], sizes[names.index(source)]) and abs(r["target"] - due[source]) < 1e-6
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["taken"] > 0) == bool(r["shards"])
+        taken[source] += r["taken"]
+    assert all(abs(taken[n] - due[n]) <= 1 for n in names)
+    assert sorted(map(tuple, queries.op6_mixing(spark, small).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, before = docs.columns, docs.count()
