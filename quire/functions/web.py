@@ -2,20 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.basics import blank
+from quire.functions.basics import blank, let
 
 #: Named entities that metadata texts use.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "amp": "&"}
-SECRET_PARAMETERS = r"(?i)([?&](?:key|apikey|api_key|token|ttbkey|cert_key)=)[^&#]*"
-
-
-def decode_entities(text: Column) -> Column:
-    """Named entities as characters; the ampersand last, so that nothing is decoded twice."""
-    for name, character in ENTITIES.items():
-        text = F.regexp_replace(text, f"&{name};", character)
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "micro": "µ", "ndash": "–", "mdash": "—",
+    "times": "×", "plusmn": "±", "deg": "°", "copy": "©", "reg": "®", "alpha": "α", "beta": "β", "gamma": "γ", "mu": "μ",
+    "Omega": "Ω", "omega": "ω", "le": "≤", "ge": "≥", "minus": "−",
+}
+#: Parameters of addresses whose values are secret.
+SECRET_PARAMETERS = ("key", "apikey", "api_key", "token", "access_token", "client_secret", "ttbkey", "cert_key")
+#: Phrases of pages that ask for proof of not being a robot, and signs of a record or of results.
+CHALLENGES = (
+    "captcha", "just a moment", "attention required", "access denied", "cf-browser-verification", "cf_chl_", "verify you are human", "unusual traffic",
+    "비정상적인 접근", "접근이 제한", "자동 등록 방지", "robot check", "are you a robot", "ddos-guard", "incapsula",
+)
+LOGINS = ("log in", "login", "sign in", "signin", "로그인", "member login", "authenticate")
+RECORD_SIGNS = ("citation_title", "application/ld+json", "dc.title", "isbn")
+RESULT_SIGNS = ('id="rso"', 'id="yesschlist"', "data-goods-no=")
+ENTITY = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]+);"
+
+
+def any_of(text: Column, phrases: Sequence[str]) -> Column:
+    """Whether a lower-case text has one of the phrases."""
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
+
+
+def _entity(token: Column) -> Column:
+    """The character that an entity stands for; the entity itself if it is unknown, a control character or no character."""
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair)), F.substring(token, F.lit(2), F.char_length(token) - 2))
+    hexadecimal = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]{1,6});$", 1)
+    decimal = F.regexp_extract(token, "^&#0*([0-9]{1,7});$", 1)
+    point = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(decimal).try_cast("int")
+    good = (point >= 32) & ~point.between(127, 159) & ~point.between(0xD800, 0xDFFF) & (point <= 0x10FFFF)
+    return F.coalesce(F.when(good, F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")), named, token)
+
+
+def decode_entities(text: Column, passes: int = 3) -> Column:
+    """Entities as characters, also those that come to light when others are decoded, ``passes`` deep."""
+
+    def once(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), _entity)
+        woven = F.flatten(F.transform(F.arrays_zip(F.split(t, ENTITY, -1), found), lambda x: F.array(x["0"], F.coalesce(x["1"], F.lit("")))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(woven, "")).otherwise(t)
+
+    for _ in range(passes):
+        text = let(text, once)
     return text
 
 
@@ -96,7 +136,7 @@ def is_public_url(url: Column) -> Column:
 
 def redact_url(url: Column) -> Column:
     """A URL with the values of secret parameters masked."""
-    return F.regexp_replace(blank(url), SECRET_PARAMETERS, "$1***")
+    return F.regexp_replace(blank(url), rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=)[^&#]*", "$1***")
 
 
 def title_from_slug(url: Column) -> Column:
@@ -110,20 +150,40 @@ def title_from_slug(url: Column) -> Column:
 
 
 def is_challenge(html: Column) -> Column:
-    """A page that asks for proof of not being a robot."""
-    return F.left(blank(html), F.lit(20000)).rlike(r"(?i)captcha|are you a robot|unusual traffic|cf-challenge|checking your browser")
+    """A page that asks for proof of not being a robot, by its start: 20 000 characters, as the reading of such pages is defined."""
+
+    def of(head: Column) -> Column:
+        title = F.lower(F.regexp_extract(head, r"(?i)<title>([^<]*)</title>", 1))
+        low = F.lower(head)
+        book = head.rlike(r"""(?i)og:type["']\s+content=["']book""")
+        return ~(any_of(low, RECORD_SIGNS + RESULT_SIGNS) | book) & (any_of(title, CHALLENGES) | any_of(low, CHALLENGES))
+
+    return let(F.left(blank(html), F.lit(20000)), of)
 
 
 def is_login_wall(html: Column) -> Column:
-    return F.left(blank(html), F.lit(20000)).rlike(r"""(?i)type=["']password["']|sign in to continue|log ?in required""")
+    """A page whose title asks to log in and that has a field for a password, by its first 40 000 characters."""
+
+    def of(head: Column) -> Column:
+        low = F.lower(head)
+        title = F.regexp_extract(low, r"<title>([^<]*)</title>", 1)
+        book = head.rlike(r"""(?i)og:type["']\s+content=["']book""")
+        return ~(any_of(low, RECORD_SIGNS) | book) & any_of(title, LOGINS) & low.rlike(r"""<input[^>]+type\s*=\s*["']?password""")
+
+    return let(F.left(blank(html), F.lit(40000)), of)
 
 
 def fetch_kind(status: Column, body: Column, timed_out: Column, expect: str = "html") -> Column:
     """The outcome of a request: one of nine kinds, the first that applies."""
+    text = blank(body)
+    good = {
+        "json": F.trim(text).rlike(r"^[{\[]") & F.try_parse_json(F.trim(text)).isNotNull(),
+        "xml": text.rlike(r"(?i)^\s*<(?:\?xml|feed\b|rss\b)"),
+    }.get(expect, F.lit(False))
     shaped = {
-        "json": F.try_parse_json(F.trim(blank(body))).isNotNull() & F.trim(blank(body)).rlike(r"^[{\[]"),
-        "xml": blank(body).rlike(r"(?i)^\s*(?:<\?xml|<feed\b|<rss\b|<[a-z])"),
-        "html": F.left(blank(body), F.lit(5000)).rlike(r"(?i)<html|<head|<body|<meta|<title"),
+        "json": good,
+        "xml": good | text.rlike(r"(?i)<(?:feed\b|rss\b|[a-z])"),
+        "html": F.left(text, F.lit(5000)).rlike(r"(?i)<(?:html|head|body|meta|title)"),
         "any": F.lit(True),
     }[expect]
     return (
@@ -135,6 +195,7 @@ def fetch_kind(status: Column, body: Column, timed_out: Column, expect: str = "h
         .when(status.isin(404, 410), "noMatch")
         .when(status >= 500, "serverError")
         .when(status >= 300, "rejected")
+        .when(good, "record")
         .when(is_challenge(body), "blocked")
         .when(is_login_wall(body), "authRequired")
         .when(~shaped, "parseError")

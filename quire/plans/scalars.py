@@ -119,7 +119,7 @@ def edit_distances(t):
 SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'),
     '(?i)<(?:br|p|div|li|tr|td|th|h[1-6]|dt|dd|section|article)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', chr(160)), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', chr(160)), '&ndash;', '–'), '&copy;', '©'), '&amp;', '&'),
   '[ \\t\\x{A0}]+', ' ', 'g'), '[ \\t\\r\\n]*\\n[ \\t\\r\\n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages""")
 def page_visible_text(t):
     """What a reader sees of a page."""
@@ -152,10 +152,16 @@ def url_guards(t):
     return t("pages").select("page_id", web.is_public_url(url).alias("public"), web.is_external_url(url).alias("external"))
 
 
-@query("""SELECT page_id, url || '&key=***&x=1' AS url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?a=1' AS url FROM pages)""")
+@query("""
+SELECT page_id, url || '?a=1&' || CASE page_id % 9 WHEN 0 THEN 'key=***' WHEN 1 THEN 'apikey=***' WHEN 2 THEN 'API_KEY=***' WHEN 3 THEN 'token=***' WHEN 4 THEN 'access_token=***&client_secret=***' WHEN 5 THEN 'client_secret=***' WHEN 6 THEN 'ttbkey=***' WHEN 7 THEN 'cert_key=***'
+  ELSE 'mytoken=s' || page_id || '&keys=1' END || '&x=1#key=9' AS url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)""")
 def redacted_urls(t):
-    """Secrets in addresses masked."""
-    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?a=1&key=secret"), F.col("page_id").cast("string"), F.lit("&x=1"))
+    """Secrets in addresses masked, whatever their parameter is called."""
+    secret = F.concat(F.lit("s"), F.col("page_id").cast("string"))
+    names = [F.concat(F.lit(f"{n}="), secret) for n in ("key", "apikey", "API_KEY", "token")]
+    both = F.concat(F.lit("access_token="), secret, F.lit("&client_secret="), secret)
+    names += [both, *(F.concat(F.lit(f"{n}="), secret) for n in ("client_secret", "ttbkey", "cert_key")), F.concat(F.lit("mytoken="), secret, F.lit("&keys=1"))]
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?a=1&"), F.get(F.array(*names), (F.col("page_id") % 9).cast("int")), F.lit("&x=1#key=9"))
     return t("pages").select("page_id", web.redact_url(url).alias("url"))
 
 
@@ -168,29 +174,61 @@ def page_parts(t):
     return t("pages").select("page_id", F.size(web.links(html)).cast("long").alias("links"), web.page_title(html).alias("title"), F.array_join(web.meta_tags(html), ",").alias("metas"))
 
 
-@query("""
-SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'timeout' WHEN page_id % 8 = 1 THEN 'authRequired' WHEN page_id % 8 = 2 THEN 'rateLimited' WHEN page_id % 8 = 3 THEN 'noMatch'
-  WHEN page_id % 8 = 4 THEN 'serverError' WHEN page_id % 8 = 5 THEN 'rejected' WHEN regexp_matches(html[1:20000], '(?i)captcha|are you a robot|unusual traffic|cf-challenge|checking your browser') THEN 'blocked' ELSE 'record' END AS kind FROM pages""")
+def _held(text: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p.lower()}')" for p in phrases) + ")"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, html, lower(html[1:20000]) AS head, page_id % 12 AS k FROM pages),
+x AS (SELECT *, CASE WHEN k = 8 THEN replace(head, '<title>', '<title>just a moment ') WHEN k = 9 THEN head || 'unusual traffic' WHEN k = 10 THEN head || 'captcha citation_title' ELSE head END AS h FROM p)
+SELECT page_id, CASE WHEN k = 0 THEN 'timeout' WHEN k = 1 THEN 'authRequired' WHEN k = 2 THEN 'rateLimited' WHEN k = 3 THEN 'noMatch' WHEN k = 4 THEN 'serverError' WHEN k = 5 THEN 'rejected' WHEN k = 6 THEN 'authRequired' WHEN k = 7 THEN 'parseError'
+  WHEN {_held("h", web.CHALLENGES)} AND NOT {_held("h", web.RECORD_SIGNS)} THEN 'blocked' ELSE 'record' END AS kind FROM x""")
 def fetch_outcomes(t):
     """The kind of a request's outcome."""
-    k = F.col("page_id") % 8
+    k, html = F.col("page_id") % 12, F.lower(F.left("html", F.lit(20000)))
     status = F.when(k == 1, 401).when(k == 2, 429).when(k == 3, 404).when(k == 4, 503).when(k == 5, 301).otherwise(200)
-    return t("pages").select("page_id", web.fetch_kind(status, F.col("html"), k == 0).alias("kind"))
+    body = (
+        F.when(k == 6, "<html><title>Member Login</title><form><input name=p type='password'></form>").when(k == 7, "plain words, no page")
+        .when(k == 8, F.replace(html, F.lit("<title>"), F.lit("<title>just a moment "))).when(k == 9, F.concat(F.lit("<html>unusual traffic"), html)).when(k == 10, F.concat(F.lit("captcha citation_title"), html)).otherwise(F.col("html"))
+    )
+    return t("pages").select("page_id", web.fetch_kind(status, body, k == 0).alias("kind"))
 
 
-@query("""
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date,
-  CASE o_orderkey % 4 WHEN 1 THEN 'month' WHEN 2 THEN 'year' ELSE 'day' END AS precision FROM orders""")
+#: Ways of writing a date, by Spark's patterns, and the precision that they have; those without one are no dates.
+WAYS = (
+    ("yyyy/M/d", "day"), ("yyyy", "year"), ("M/yyyy", "month"), ("MMMM d, yyyy", "day"), ("d MMM. yyyy", "day"), ("yyyy년 M월 d일", "day"), ("yyyy年M月", "month"), ("yyyy年", "year"), ("yyyy.MM.", "month"), ("d'th' MMMM yyyy", "day"),
+    ("MMMM yyyy", "month"), ("M월 d, yyyy", "day"), ("'Decade' d, yyyy", None), ("'Maybe' d, yyyy", None), ("yyyy-MM-dd-1", None), ("yyyy MMMM d", None),
+)
+#: Names of months in other languages that a date takes by its month.
+OTHER_MONTHS = ("Januar", "février", "März", "abril", "Mai", "giugno", "juillet", "agosto", "setembro", "Oktober", "noviembre", "dicembre")
+
+
+@query(f"""
+WITH w AS (SELECT o_orderkey, o_orderdate, {[p or 'none' for _, p in WAYS] + ['day', 'month', 'none']}[o_orderkey % {len(WAYS) + 3} + 1] AS p FROM orders)
+SELECT o_orderkey, CASE p WHEN 'day' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'month' THEN strftime(o_orderdate, '%Y-%m') WHEN 'year' THEN strftime(o_orderdate, '%Y') END AS date, CASE WHEN p <> 'none' THEN p END AS precision FROM w""")
 def canonical_dates(t):
-    """Dates as precise as stated."""
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    text = (
-        F.when(k == 0, F.date_format(d, "yyyy/M/d")).when(k == 1, F.date_format(d, "M/yyyy")).when(k == 2, F.date_format(d, "yyyy")).otherwise(F.date_format(d, "MMMM d, yyyy"))
-    )
+    """Dates as precise as stated, in many ways of writing."""
+    k, d = F.col("o_orderkey") % (len(WAYS) + 3), F.col("o_orderdate")
+    text = F.lit(None).cast("string")
+    for i, (way, _) in enumerate(WAYS):
+        text = F.when(k == i, F.date_format(d, way)).otherwise(text)
+    month = F.get(F.array(*map(F.lit, OTHER_MONTHS)), F.month(d) - 1)
+    text = F.when(k == len(WAYS), F.concat(F.dayofmonth(d), F.lit(". de "), month, F.lit(" de "), F.year(d))).when(k == len(WAYS) + 1, F.concat_ws(" ", month, F.year(d))).otherwise(text)
+    text = F.when(k == len(WAYS) + 2, F.concat(F.year(d), F.lit("-"), F.month(d), F.lit("-31-02"))).otherwise(text)
     date = dates.canonical_date(text)
     return t("orders").select("o_orderkey", date.alias("date"), dates.precision(date).alias("precision"))
 
 
+@query("""
+SELECT o_orderkey, o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND month(o_orderdate) = month(o_orderdate + INTERVAL 1 DAY)) AS same FROM orders""")
+def same_dates(t):
+    """Dates that are equal at equal precision, however they are written."""
+    k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    a = F.when(k == 0, F.date_format(d, "d MMMM yyyy")).when(k == 1, F.date_format(d, "yyyy-MM")).otherwise(F.date_format(d, "yyyy"))
+    b = F.when(k == 0, F.date_format(d, "yyyy.M.d.")).when(k == 1, F.date_format(F.date_add(d, 1), "MMMM yyyy")).otherwise(F.date_format(d, "yyyy-MM"))
+    return t("orders").select("o_orderkey", dates.same_date(a, b).alias("same"))
+
+
 @query("""
 SELECT o_orderkey, try_cast(printf('%04d-%02d-%02d', 1990 + o_orderkey % 30, o_orderkey % 14, o_orderkey % 33) AS DATE) IS NOT NULL AS real FROM orders""")
 def real_dates(t):
