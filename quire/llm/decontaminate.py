@@ -6,13 +6,13 @@ contains a window only if it contains all its shingles, so for containment 1
 the necessary prefix of a window, with shingles ordered by rarity in the
 documents, is its single rarest shingle.
 
-One pass counts how often the benchmark's shingles occur in all documents; it
-keeps no more than a count for each. A second one joins the prefix shingles
-alone, with their places; those whose window would reach over an end of the text
-are dropped. Only texts with such places are read again, for the words of these
-windows, which are then compared with the benchmark's word by word. Texts are
-known by their SHA-256, so that copies are judged once and results reach every
-row with that text.
+One pass over the documents counts how often each of the benchmark's shingles
+occurs in each text: postings, whose sums by shingle are the order of rarity.
+Prefix shingles alone are joined with the postings, and only the texts that have
+one are read again. In these, places whose window would reach over an end of the
+text are dropped, and the words of the other windows are compared with the
+benchmark's word by word. Texts are known by their SHA-256, so that copies are
+judged once and results reach every row with that text.
 
 Everything is DataFrame code. Tables of hashes, places and results are broadcast
 up to ``BROADCAST_ROWS`` rows, by count; beyond that both sides are shuffled.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.storage import few, materialise
-from quire.llm.textcols import SEPARATORS, SEPARATORS_OF_ANY_CASE, ascii_lower, piece_count, pieces, text_or_empty
+from quire.llm.textcols import SEPARATORS, SEPARATORS_OF_ANY_CASE, ascii_lower, let, piece_count, pieces, text_or_empty
 
 WINDOW = 10
 SHINGLE = 4
@@ -44,8 +44,12 @@ def words_of(text: Column) -> Column:
 
 
 def key_of(text: Column) -> Column:
-    """What stands for a text in joins; never null, so that these need not compute it twice to see that."""
-    return F.coalesce(F.unhex(F.sha2(text_or_empty(text), 256)), F.lit(b""))
+    """What stands for a text in joins.
+
+    It is never null, so that these need not compute it twice to see that, and
+    made in a lambda, so that Spark doesn't put it off to each exploded row.
+    """
+    return F.coalesce(let(text_or_empty(text), lambda t: F.unhex(F.sha2(t, 256))), F.lit(b""))
 
 
 def _runs(words: Column, width: Column | int) -> Column:
@@ -99,10 +103,12 @@ def occurrences(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, most:
     cut = materialise(window_shingles(wins, shingle), "window-shingles")
     widths = sorted(r[0] for r in cut.select("width").distinct().collect()) or [shingle]  # at most ``shingle`` rows
     wanted = few(materialise(cut.select("h").distinct(), "shingles"), most)
-    counted = document_shingles(docs, widths).join(wanted, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = document_shingles(docs, widths, key_of(F.col("text")).alias("key")).join(wanted, "h")
+    postings = materialise(found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")), "postings")
+    rarity = postings.groupBy("h").agg(F.sum("n").alias("n"))
     # A window with a shingle that no document has cannot occur.
     prefix = (
-        cut.join(counted, "h", "left")
+        cut.join(rarity, "h", "left")
         .groupBy("wid", "size")
         .agg(F.min(F.struct("n", "off", "h")).alias("rarest"), F.min(F.col("n").isNotNull()).alias("can"))
         .where("can")
@@ -110,17 +116,17 @@ def occurrences(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, most:
         .distinct()
     )
     prefix = few(materialise(prefix, "prefixes"), most)
+    keys = few(materialise(postings.join(prefix.select("h").distinct(), "h", "left_semi").select("key").distinct(), "candidates"), most)
+    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "candidate-texts")
     start = F.col("pos") - F.col("off")
     places = (
-        document_shingles(docs, widths, key_of(F.col("text")).alias("key"))
+        document_shingles(texts, widths, F.col("key"))
         .join(prefix, "h")
         .where((start >= 0) & (start + F.col("size") <= F.col("n_words")))  # positional and length bounds
         .select("key", start.alias("start"), "size")
         .distinct()
     )
-    places = materialise(places, "places")
-    keys = few(materialise(places.select("key").distinct(), "place-keys"), most)
-    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     by_text = places.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("places"))  # no more than words and sizes of windows
     words = texts.join(by_text, "key").select("key", "places", words_of(F.col("text")).alias("w"))
     cuts = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.slice("w", p["start"] + 1, p["size"]).alias("win")))
