@@ -43,15 +43,6 @@ def keyed_cache_lookup(t):
     return t("labels").select("doc_id", "toxic").join(cache, "doc_id", "left")
 
 
-@query("""
-SELECT o_orderkey, o_custkey, (SELECT max(c_name) FROM customer WHERE c_custkey = o_custkey) AS customer,
-  (SELECT max(n_name) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = o_custkey) AS nation
-FROM orders WHERE o_totalprice > 300000""")
-def attachments_with_lookups(t):
-    """Items with scalar lookups, written as joins."""
-    return looked_up(t, t("orders").where("o_totalprice > 300000"))
-
-
 def looked_up(t, orders):
     people = t("customer").join(joins.small(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return orders.select("o_orderkey", "o_custkey").join(people.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer"), F.col("n_name").alias("nation")), "o_custkey", "left")
@@ -61,7 +52,7 @@ def looked_up(t, orders):
 SELECT o_orderkey, o_custkey, c_name AS customer, n_name AS nation
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def all_attachments_with_lookups(t):
-    """All items with scalar lookups (S8, J1): ``attachments_with_lookups`` takes those over a price."""
+    """Items with scalar lookups, written as joins."""
     return looked_up(t, t("orders"))
 
 
@@ -434,16 +425,9 @@ def upsert_by_key(t):
     return sinks.replace_by_key(p, p.where("p_partkey % 10 = 0").select("p_partkey", F.lit("new").alias("p_name")), ["p_partkey"])
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 5000 AND lang <> 'fr' THEN substr(text, 1, 5000) || '…[' || (length(text) - 5000) || ' characters omitted]' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0""")
-def export_rows(t):
-    """Chosen rows with long texts cut and the rest counted, but for kinds that never are (K3, K4)."""
-    rows = t("documents").select("doc_id", "text", "lang").where("doc_id % 3 <> 0")  # the ticked rows
-    return rows.select("doc_id", sinks.cut_text(F.col("text"), F.col("lang") == "fr", 5000).alias("text"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(text) > 20000 AND lang <> 'fr' THEN substr(text, 1, 20000) || '…[' || (length(text) - 20000) || ' characters omitted]' ELSE text END AS text FROM documents""")
 def export_all_rows(t):
-    """All rows with texts over 20 000 characters cut and the rest counted, but for kinds that never are (K3, K4): ``export_rows`` takes two thirds of them, at 5000."""
+    """All rows with texts over 20 000 characters cut and the rest counted, but for kinds that never are (K3, K4)."""
     return t("documents").select("doc_id", sinks.cut_text(F.col("text"), F.col("lang") == "fr").alias("text"))
 
 

@@ -325,18 +325,6 @@ def folded_names(t):
     return t("documents").select("doc_id", F.sha2(titles.folded_letters(F.col("text")), 256).alias("folded"))
 
 
-@query("""
-WITH p AS (SELECT conv_id, turn, word, place AS s, place + length(word) AS e FROM (
-  SELECT conv_id, turn, unnest(['the', 'and', 'thing']) AS word, unnest([instr(text, 'the'), instr(text, 'and'), instr(text, 'thing')]) AS place FROM conversations) WHERE place > 0)
-SELECT conv_id, turn, max(n) AS covered, max(n) >= 2.55 AS supported FROM (
-  SELECT a.conv_id, a.turn, a.e, count(DISTINCT b.word) AS n FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.e BETWEEN a.e - 83 AND a.e AND b.s >= a.e - 83 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
-def span_cover(t):
-    """Whether a stretch of a text holds enough of some words."""
-    hit = lambda w: F.struct(F.lit(w).alias("word"), F.instr("text", w).alias("s"))
-    hits = t("conversations").select("conv_id", "turn", F.inline(F.array(hit("the"), hit("and"), hit("thing")))).where("s > 0")
-    return windows.span_cover(hits.withColumn("e", F.col("s") + F.char_length("word")), ["conv_id", "turn"], "s", "e", "word", 3).select("conv_id", "turn", F.col("covered").cast("long").alias("covered"), "supported")
-
-
 @query("""
 WITH p AS (SELECT conv_id, turn, word, s, s + length(word) AS e FROM (
   SELECT conv_id, turn, word, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(word)) = word)) AS s
@@ -344,7 +332,7 @@ WITH p AS (SELECT conv_id, turn, word, s, s + length(word) AS e FROM (
 SELECT conv_id, turn, max(n) AS covered, max(n) >= 2.55 AS supported FROM (
   SELECT a.conv_id, a.turn, a.e, count(DISTINCT b.word) AS n FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.e BETWEEN a.e - 83 AND a.e AND b.s >= a.e - 83 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def span_cover_all_hits(t):
-    """Whether any stretch of a text holds enough of some words (W13, C14): ``span_cover`` looks at each word's first hit only."""
+    """Whether any stretch of a text holds enough of some words."""
     hit = lambda w: F.transform(windows.hits(F.col("text"), w), lambda s: F.struct(F.lit(w).alias("word"), s.alias("s")))
     found = t("conversations").select("conv_id", "turn", F.inline(F.concat(hit("the"), hit("and"), hit("thing"))))
     return windows.span_cover(found.withColumn("e", F.col("s") + F.char_length("word")), ["conv_id", "turn"], "s", "e", "word", 3).select("conv_id", "turn", F.col("covered").cast("long").alias("covered"), "supported")

@@ -170,11 +170,11 @@ def mode_token_per_document(t):
 
 
 @query("""
-SELECT o_custkey, y, n FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, year(o_orderdate)) AS k FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1997 GROUP BY 1, 2) WHERE k <= 4""")
+SELECT o_custkey, y, n FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, year(o_orderdate)) AS k FROM orders WHERE year(o_orderdate) BETWEEN 1400 AND 2100 GROUP BY 1, 2) WHERE k <= 4""")
 def stated_years(t):
-    """Up to four most stated years in a range."""
+    """Up to four most stated years of those that a document can have."""
     y = F.year("o_orderdate")
-    counts = t("orders").where(y.between(1993, 1997)).groupBy("o_custkey", y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    counts = t("orders").where(y.between(1400, 2100)).groupBy("o_custkey", y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("o_custkey").orderBy(F.col("n").desc(), "y")
     return counts.withColumn("k", F.row_number().over(w)).where("k <= 4").drop("k").select("o_custkey", F.col("y").cast("long").alias("y"), "n")
 

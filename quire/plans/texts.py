@@ -13,29 +13,41 @@ INITIALS, MEDIALS, FINALS = (str(list(x)) for x in (names.INITIALS, names.MEDIAL
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN length(e) < length(s) AND CAST(s[1:length(s) - length(e)] || e AS INT) > CAST(s AS INT) THEN s || '-' || s[1:length(s) - length(e)] || e ELSE '' END AS range FROM (
-  SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 900 + 100 AS VARCHAR) AS s, CAST(l_linenumber * 13 AS VARCHAR) AS e FROM lineitem WHERE l_linenumber * 13 < l_orderkey % 900 + 100)""")
+WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 900 + 100 AS VARCHAR) AS s, CAST(l_linenumber * 13 AS VARCHAR) AS e FROM lineitem),
+y AS (SELECT *, s[1:greatest(0, length(s) - length(e))] || e AS full_end FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN CAST(e AS INT) > CAST(s AS INT) THEN s || '-' || e WHEN length(e) < length(s) AND CAST(full_end AS INT) > CAST(s AS INT) THEN s || '-' || full_end ELSE '' END AS range FROM y""")
 def page_ranges(t):
     """Ranges with abbreviated ends written out."""
     text = F.concat(F.lit("pp. "), (F.col("l_orderkey") % 900 + 100).cast("string"), F.lit("–"), (F.col("l_linenumber") * 13).cast("string"), F.lit(" of it"))
-    rows = t("lineitem").where("l_linenumber * 13 < l_orderkey % 900 + 100")
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce(F.get(readings.page_ranges(text), 0), F.lit("")).alias("range"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.get(readings.page_ranges(text), 0), F.lit("")).alias("range"))
 
 
-@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) AS volume, CAST(p_partkey % 9 AS VARCHAR) AS issue, p_partkey % 2 = 0 AS agree FROM part""")
+@query("""
+WITH o AS (SELECT p_partkey, p_size, [CAST(p_size AS VARCHAR), '00' || p_size, CAST(p_size + 1 AS VARCHAR), '', p_size || '–' || (p_size + 3), CAST(p_partkey % 60 AS VARCHAR)][p_partkey % 6 + 1] AS other FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_size AS VARCHAR) END AS volume, CASE WHEN p_partkey % 4 <> 2 THEN CAST(p_partkey % 9 AS VARCHAR) END AS issue,
+  other = '' OR regexp_replace(other, '^0+', '') = CAST(p_size AS VARCHAR) OR (p_size = 0 AND regexp_matches(other, '^0+$')) AS agree FROM o""")
 def volume_and_issue(t):
     """Volumes and issues that a text states, and whether locators agree."""
-    text = F.format_string("Journal of Parts, Vol. %d, No. %d (2019)", F.col("p_size"), F.col("p_partkey") % 9)
-    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("00"), F.col("p_size").cast("string"))).otherwise((F.col("p_size") + 1).cast("string"))
-    agree = readings.same_locator(F.col("p_size").cast("string"), other)
-    return t("part").select("p_partkey", F.get(readings.volumes(text), 0).alias("volume"), F.get(readings.issues(text), 0).alias("issue"), agree.alias("agree"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    volume = F.when(k % 4 == 0, F.concat(F.lit("Vol. "), size)).when(k % 4 == 1, F.concat(F.lit("VOLUME: "), size)).when(k % 4 == 2, F.concat(F.lit("vol "), size)).otherwise(F.concat(F.lit("pages "), size))
+    issue = F.when(k % 4 == 0, F.lit("No. ")).when(k % 4 == 1, F.lit("issue ")).when(k % 4 == 2, F.lit("part ")).otherwise(F.lit("Number "))
+    text = F.concat(F.lit("Journal of Parts, "), volume, F.lit(", "), issue, (k % 9).cast("string"), F.lit(" (2019)"))
+    other = F.get(F.array(size, F.concat(F.lit("00"), size), (F.col("p_size") + 1).cast("string"), F.lit(""), F.concat_ws("–", F.col("p_size"), F.col("p_size") + 3), (k % 60).cast("string")), (k % 6).cast("int"))
+    return t("part").select("p_partkey", F.get(readings.volumes(text), 0).alias("volume"), F.get(readings.issues(text), 0).alias("issue"), readings.same_locator(size, other).alias("agree"))
+
+
+ORDINAL_LIST = str(list(readings.ORDINALS))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '2' WHEN p_partkey % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE 'critical' END AS edition FROM part""")
+@query(f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CAST(1 + p_partkey % 10 AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') WHEN 3 THEN CAST(p_size AS VARCHAR) WHEN 4 THEN '' ELSE CAST(p_size AS VARCHAR) || lower(p_type) END AS edition FROM part""")
 def edition_keys(t):
-    """Editions for comparison."""
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, "Second Edition").when(k == 1, F.concat(F.col("p_size").cast("string"), F.lit("th revised ed."))).otherwise("Critical edition")
+    """Editions for comparison, by number or by their own words."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    word = F.initcap(F.get(F.array(*map(F.lit, readings.ORDINALS)), (F.col("p_partkey") % 10).cast("int")))
+    text = (
+        F.when(k == 0, F.concat(word, F.lit(" Edition"))).when(k == 1, F.concat(size, F.lit("th revised ed."))).when(k == 2, F.concat(F.col("p_name"), F.lit(" edn")))
+        .when(k == 3, F.concat(F.lit("제"), size, F.lit("판"))).when(k == 4, F.lit(" Rev. ed. ")).otherwise(F.concat(size, F.lit("nd "), F.col("p_type"), F.lit(" edition")))
+    )
     return t("part").select("p_partkey", readings.edition_key(text).alias("edition"))
 
 
@@ -46,22 +58,32 @@ def language_codes(t):
     return t("documents").select("doc_id", readings.language_code(table[F.col("lang")]).alias("code"))
 
 
-@query("""SELECT s_suppkey, s_suppkey % 3 <> 2 AS same FROM supplier""")
+@query("""
+SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_suppkey = b.s_suppkey AND b.s_suppkey % 7 < 6 AS same FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey""")
 def publisher_equality(t):
-    """Publishers equal but for legal forms."""
-    k = F.col("s_suppkey") % 3
-    own = F.concat(F.lit("House"), F.col("s_suppkey").cast("string"), F.lit(" Publishing Ltd."))
-    other = F.when(k == 0, F.concat(F.lit("house"), F.col("s_suppkey").cast("string"))).when(k == 1, F.concat(F.lit("House"), F.col("s_suppkey").cast("string"), F.lit(" Verlag"))).otherwise("Other Press")
-    return t("supplier").select("s_suppkey", readings.same_publisher(own, other).alias("same"))
+    """Publishers equal but for legal forms, among those of one country."""
+    key = F.col("s_suppkey").cast("string")
+    forms = ["{} Publishing Ltd.", "THE {} PRESS", "{}, Inc.", "{} GmbH & Co.", "{} (Group) Publishers", "{} Verlag Haus", "Other {} Books"]
+    house = lambda k: F.get(F.array(*(F.concat(F.lit(f.split("{}")[0] + "House"), F.lpad(key, 6, "0"), F.lit(f.split("{}")[1])) for f in forms)), (k % 7).cast("int"))
+    s = t("supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("House"), F.lpad(key, 6, "0"), F.lit(" Limited")).alias("own"), house(F.col("s_suppkey")).alias("other"))
+    o = s.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("other").alias("theirs"))
+    met = s.withColumnRenamed("s_suppkey", "a").join(o, "s_nationkey")
+    return met.select("a", "b", readings.same_publisher(F.col("own"), F.col("theirs")).alias("same"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'url' WHEN 1 THEN 'doi' WHEN 2 THEN 'isbn' END AS kind, NOT (page_id % 4 = 0 AND page_id % 8 = 0) AND page_id % 4 = 0 AS report FROM pages""")
+@query("""
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'url' WHEN 1 THEN 'doi' WHEN 2 THEN 'doi' WHEN 3 THEN CASE WHEN (10 - (9 * 1 + 7 * 3 + 8 * 1 + list_sum(list_transform(range(1, 10), lambda i: CAST(d[i:i] AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END))) % 10) % 10 = page_id % 10 THEN 'isbn' END WHEN 4 THEN 'url' END AS kind,
+  CASE page_id % 6 WHEN 0 THEN NOT regexp_matches(url, '^https?://[^/?#]+/?([?#]|$)') AND NOT regexp_matches(lower(url), '^https?://[^/?#]+[^?#]*/search([^a-z0-9_]|$)') AND NOT regexp_matches(lower(url), '[?&](q|query|keyword|search|s)=') WHEN 2 THEN true ELSE false END AS report
+FROM (SELECT *, lpad(CAST(page_id % 1000000000 AS VARCHAR), 9, '0') AS d FROM pages)""")
 def reference_kinds(t):
     """What a pasted reference is, and whether an address is of a page of its own."""
-    k = F.col("page_id") % 4
-    text = F.when(k == 0, F.when(F.col("page_id") % 8 == 0, "https://example.org/search?q=x").otherwise(F.concat(F.lit("https://example.org/r/"), F.col("page_id").cast("string"))))
-    text = F.coalesce(text, F.when(k == 1, "doi:10.1234/x.").when(k == 2, "ISBN 978-0-306-40615-7").otherwise("nothing"))
-    return t("pages").select("page_id", readings.reference_kind(text).alias("kind"), readings.is_report_url(text).alias("report"))
+    k, key = F.col("page_id") % 6, F.col("page_id").cast("string")
+    isbn = F.concat(F.lit("ISBN-13: 978"), F.lpad((F.col("page_id") % 1_000_000_000).cast("string"), 9, "0"), (F.col("page_id") % 10).cast("string"))
+    text = (
+        F.when(k == 0, F.concat(F.lit(" "), F.col("url"))).when(k == 1, F.concat(F.lit("doi:10.1234/"), key, F.lit("."))).when(k == 2, F.concat(F.lit("https://doi.org/10.1234/x"), key))
+        .when(k == 3, isbn).when(k == 4, F.concat(F.lit("example.org/"))).otherwise(F.concat(F.lit("note "), key))
+    )
+    return t("pages").select("page_id", readings.reference_kind(text).alias("kind"), F.coalesce(text.rlike("^ ?http") & readings.is_report_url(text), F.lit(False)).alias("report"))
 
 
 @query("""SELECT c_custkey, c_mktsegment AS value, 'Note: x' || chr(10) || 'Segment: new' AS changed FROM customer""")
