@@ -85,3 +85,27 @@ def type_scores(texts: DataFrame, key: str, text: str, signals: DataFrame) -> Da
         got = sum((F.when(F.col(text).rlike(r["pattern"]), r["weight"]).otherwise(0) for r in rows), F.lit(0))
         out.append(F.struct(F.lit(kind).alias("type"), F.least(F.lit(1.0), got / F.lit(float(saturation))).alias("score")))
     return texts.select(key, F.inline(F.array(*out)))
+
+
+#: Words by which a file's label or front matter tells that it supplements another; how far its front matter goes.
+SUPPLEMENT_LABEL = r"(?i)supplement|supporting|appendix|(?:^|[^a-z])si(?:[^a-z]|$)"
+SUPPLEMENT_TEXT = "supplementa|supporting information"
+FRONT = 1200
+
+
+def primary_files(items: DataFrame, files: DataFrame, item: str, file: str) -> DataFrame:
+    """Each item's main file of ``files`` (label, front, present) and how it was chosen: noPDF, chosen, missingFile or multiplePDFs.
+
+    The only file is it; else the only one whose label doesn't call it a
+    supplement; else the only one of these whose front matter doesn't either.
+    """
+    by_label = F.col("label").rlike(SUPPLEMENT_LABEL)
+    by_text = F.lower(F.left(F.coalesce("front", F.lit("")), F.lit(FRONT))).rlike(SUPPLEMENT_TEXT)
+    one = F.struct(F.col(file).alias("file"), F.col("present").alias("present"))
+    levels = {"all": F.lit(True), "main": ~by_label, "own": ~by_label & ~by_text}
+    counts = files.groupBy(item).agg(*(F.count_if(c).alias(f"n_{k}") for k, c in levels.items()), *(F.min(F.when(c, one)).alias(k) for k, c in levels.items()))
+    met = items.join(counts, item, "left")
+    picked = F.when(F.col("n_all") == 1, F.col("all")).when(F.col("n_main") == 1, F.col("main")).when(F.col("n_own") == 1, F.col("own"))
+    rows = met.select(item, F.coalesce("n_all", F.lit(0)).alias("n"), picked.alias("p"))
+    choice = F.when(F.col("n") == 0, "noPDF").when(F.col("p").isNull(), "multiplePDFs").when(~F.col("p.present"), "missingFile").otherwise("chosen")
+    return rows.select(item, choice.alias("choice"), F.when(F.col("p.present"), F.col("p.file")).alias("file"))

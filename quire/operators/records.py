@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import dates, identifiers, readings, titles
+from quire.functions import dates, identifiers, readings, titles, web
 from quire.functions.basics import blank, let_both
 from quire.operators.joins import small
 
@@ -14,6 +14,7 @@ BOOKKEEPING = ("accessDate", "libraryCatalog")
 OWNED = ("callNumber", "archive", "archiveLocation", "extra")
 CONTAINERS = ("publicationTitle", "proceedingsTitle", "bookTitle")
 DATES = ("date", "filingDate", "issueDate")
+HOUSES = ("publisher", "place", "university", "institution")
 
 
 def field_problem(field: Column, value: Column) -> Column:
@@ -24,6 +25,10 @@ def field_problem(field: Column, value: Column) -> Column:
     return (
         F.when(text == "", "empty")
         .when(bad("title") & titles.is_placeholder(text), "placeholder")
+        .when(bad("title", *HOUSES) & ~text.rlike(r"\p{L}{2}"), "noLetters")
+        .when(bad(*HOUSES) & text.rlike(r"(?i)^(?:https?://|www\.)|\S@\S+\.\p{L}{2,}"), "address")
+        .when(bad("url") & ~web.is_external_url(text), "noAddress")
+        .when(bad("numPages") & ~text.rlike(r"^(?:[ivxlcdm]+\s*[,+]\s*)?0*[1-9]\d{0,5}(?:\s*(?:p|pp|pages)\.?)?$"), "noNumber")
         .when(bad("DOI") & (identifiers.doi_in(text) == ""), "noDoiShape")
         .when(bad("DOI") & text.rlike(r"(?i)10\.\d{4,9}/(?:x+|example|\.{3})$"), "template")
         .when(bad("ISBN") & (F.size(F.filter(F.split(text, r"[\s,;/|]+"), lambda x: identifiers.valid_isbn(x) != "")) == 0), "checkDigit")

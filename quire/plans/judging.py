@@ -12,13 +12,55 @@ query = REGISTRY.query
 
 
 @query("""
-SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'placeholder' WHEN 2 THEN 'noDoiShape' WHEN 4 THEN 'checkDigit' WHEN 5 THEN 'noDate' WHEN 6 THEN 'noPages' WHEN 7 THEN 'noNumber' WHEN 8 THEN 'citation' WHEN 9 THEN 'empty' END AS problem FROM part""")
-def field_validity(t):
-    """Why values can't stand in their fields."""
-    cases = (("title", "untitled"), ("title", "A work"), ("DOI", "11.1/x"), ("DOI", "10.1234/x1"), ("ISBN", "0306406153"), ("date", "2019-02-30"), ("pages", "several"), ("volume", "000"), ("bookTitle", "Vol. 3"), ("publisher", " "))
-    table = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(v).alias("v")) for f, v in cases))
-    case = F.get(table, (F.col("p_partkey") % 10).cast("int"))
-    return t("part").select("p_partkey", case.alias("c")).select("p_partkey", records.field_problem(F.col("c.f"), F.col("c.v")).alias("problem"))
+WITH p AS (SELECT p_partkey, lpad(CAST(p_partkey * 7 AS VARCHAR), CAST(2 + p_partkey % 9 AS INTEGER), '1') AS code, lpad(CAST((p_partkey * 7919) % 1000000000 AS VARCHAR), 9, '0') AS d, lpad(CAST((p_partkey * 131) % 10000000 AS VARCHAR), 7, '0') AS e,
+  CASE WHEN p_partkey % 11 = 10 THEN 'X' ELSE CAST(p_partkey % 11 AS VARCHAR) END AS x FROM part),
+c AS (SELECT *, (11 - list_sum(list_transform(range(1, 10), lambda i: CAST(d[i:i] AS INT) * (11 - i))) % 11) % 11 AS ten, (11 - list_sum(list_transform(range(1, 8), lambda i: CAST(e[i:i] AS INT) * (9 - i))) % 11) % 11 AS eight FROM p)
+SELECT p_partkey, CASE WHEN length(code) NOT BETWEEN 4 AND 9 THEN 'noDoiShape' WHEN p_partkey % 13 = 0 THEN 'template' END AS doi, CASE WHEN ten <> p_partkey % 11 THEN 'checkDigit' END AS isbn, CASE WHEN eight <> p_partkey % 11 THEN 'checkDigit' END AS issn FROM c""")
+def identifier_validity(t):
+    """Why identifiers can't stand in their fields: shapes, templates, check digits."""
+    k = F.col("p_partkey")
+    code = F.lpad((k * 7).cast("string"), (2 + k % 9).cast("int"), "1")
+    doi = F.concat(F.lit("10."), code, F.when(k % 13 == 0, F.lit("/xxx")).otherwise(F.concat(F.lit("/a."), k.cast("string"))))
+    x = F.when(k % 11 == 10, "X").otherwise((k % 11).cast("string"))
+    isbn = F.concat(F.lpad(((k * 7919) % 1_000_000_000).cast("string"), 9, "0"), x)
+    digits = F.lpad(((k * 131) % 10_000_000).cast("string"), 7, "0")
+    issn = F.concat(F.left(digits, F.lit(4)), F.lit("-"), F.substring(digits, 5, 3), x)
+    problem = lambda f, v: records.field_problem(F.lit(f), v)
+    return t("part").select("p_partkey", problem("DOI", doi).alias("doi"), problem("ISBN", isbn).alias("isbn"), problem("ISSN", issn).alias("issn"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN CASE WHEN o_orderkey % 17 NOT BETWEEN 1 AND 12 THEN 'noDate' END WHEN try_cast(printf('%04d-%02d-%02d', 1990 + o_orderkey % 30, o_orderkey % 14, o_orderkey % 33) AS DATE) IS NULL THEN 'noDate' END AS date,
+  CASE WHEN o_custkey % 5 = 4 OR (o_custkey % 5 = 3 AND NOT regexp_matches(CAST(o_custkey AS VARCHAR), '^[0-9]{1,8}$')) THEN 'noPages' END AS pages,
+  CASE WHEN o_custkey % 6 IN (0, 3, 5) THEN 'noNumber' END AS volume, CASE WHEN o_custkey % 6 = 2 THEN 'citation' END AS container FROM orders""")
+def date_and_locator_validity(t):
+    """Why dates, pages, volumes and containers can't stand in their fields."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    whole = F.concat_ws("-", 1990 + k % 30, k % 14, k % 33)
+    date = F.when(k % 4 == 3, F.concat_ws("/", k % 17, F.lit("2019"))).otherwise(whole)
+    number = c.cast("string")
+    pages_ = F.when(c % 5 == 0, F.concat_ws("–", c, c + 9)).when(c % 5 == 1, F.concat(F.lit("S"), number)).when(c % 5 == 2, F.concat(F.lit("e"), number, F.lit(" - e"), (c + 2).cast("string"))).when(c % 5 == 3, number).otherwise(F.concat(number, F.lit("+ pp.")))
+    volume = F.get(F.array(F.lit("00"), number, F.lit("xiv"), F.lit("Suppl"), F.lit("1a"), F.lit("several of")), (c % 6).cast("int"))
+    container = F.when(c % 6 == 2, F.concat(F.lit("Vol. "), number)).otherwise(F.concat(F.lit("Journal "), number))
+    problem = lambda f, v: records.field_problem(F.lit(f), v)
+    return t("orders").select("o_orderkey", problem("date", date).alias("date"), problem("pages", pages_).alias("pages"), problem("volume", volume).alias("volume"), problem("publicationTitle", container).alias("container"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'empty' WHEN 1 THEN 'placeholder' WHEN 2 THEN 'placeholder' WHEN 3 THEN 'placeholder' WHEN 4 THEN 'noLetters' END AS title, CASE p_partkey % 5 WHEN 0 THEN 'noLetters' WHEN 1 THEN 'address' WHEN 2 THEN 'address' END AS publisher,
+  CASE p_partkey % 4 WHEN 0 THEN 'noAddress' WHEN 3 THEN 'noAddress' END AS url, CASE WHEN p_partkey % 3 = 0 OR p_size = 0 THEN 'noNumber' END AS num_pages, CASE p_partkey % 3 WHEN 2 THEN 'noLanguage' END AS language FROM part""")
+def text_validity(t):
+    """Why titles, houses, addresses, extents and languages can't stand in their fields."""
+    k, name, key = F.col("p_partkey"), F.col("p_name"), F.col("p_partkey").cast("string")
+    title = F.get(F.array(F.lit(" "), F.concat(name, F.lit(".pdf")), F.concat(name, F.lit(" : ")), F.lit("Untitled"), F.concat(key, F.lit(" / 12")), name, F.upper(name), F.concat(F.lit("On "), name), F.concat(name, F.lit(" 2"))), (k % 9).cast("int"))
+    house = F.get(F.array(key, F.concat(F.lit("https://"), F.regexp_replace(name, " ", "")), F.concat(F.lit("info@"), F.regexp_replace(name, " ", ""), F.lit(".org")), name, F.concat(name, F.lit(" Press"))), (k % 5).cast("int"))
+    url = F.get(F.array(name, F.concat(F.lit("https://example.org/"), key), F.concat(F.lit("HTTP://Example.org?"), key), F.lit("javascript:alert(1)")), (k % 4).cast("int"))
+    extent = F.when(k % 3 == 0, F.lit("many")).when(k % 3 == 1, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("xii, "), F.col("p_size").cast("string")))
+    language = F.get(F.array(F.lit("English"), F.lit("pt-BR"), name), (k % 3).cast("int"))
+    problem = lambda f, v: records.field_problem(F.lit(f), v)
+    return t("part").select(
+        "p_partkey", problem("title", title).alias("title"), problem("publisher", house).alias("publisher"), problem("url", url).alias("url"), problem("numPages", extent).alias("num_pages"), problem("language", language).alias("language")
+    )
 
 
 def _long(df, key, **fields):
@@ -41,45 +83,60 @@ def record_changes(t):
     return records.record_diff(stored, read, authoritative=True)
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 5 = 1 THEN 'verified' WHEN p_partkey % 5 = 2 THEN 'conflicting' WHEN p_partkey % 5 = 3 THEN 'verified' ELSE 'proposed' END AS level FROM part""")
-def verification_levels(t):
-    """What documents say of proposed values."""
-    k = F.col("p_partkey") % 5
-    changes = t("part").select("p_partkey", "p_name", F.lit("title").alias("field"), F.when(k == 0, "").when(k == 1, F.upper("p_name")).otherwise("another name").alias("new"), k.alias("k"))
-    text = F.concat(F.lit("On "), F.col("p_name"), F.lit(", a report"))
-    return records.verify(changes, text, F.when(F.col("k") == 2, F.lit("that name")), F.col("k") == 3).select("p_partkey", "level")
+_FOLD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
 
-@query("""
-SELECT c_custkey, c_custkey % 2 = 0 AS doi, true AS title, c_custkey % 2 = 0 AS bound FROM customer""")
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 30) WHEN 1 THEN upper(substr(text, 5, 25)) WHEN 2 THEN 'zq' || doc_id || ' name' ELSE '' END AS new, doc_id % 3 = 0 AS rival, doc_id % 5 = 0 AS linked FROM documents),
+f AS (SELECT *, {_FOLD.format("text")} AS t, {_FOLD.format("coalesce(new, '')")} AS v FROM d)
+SELECT doc_id, CASE WHEN coalesce(trim(new), '') = '' THEN 'unknown' WHEN v <> '' AND contains(t, v) THEN 'verified' WHEN rival THEN 'conflicting' WHEN linked THEN 'verified' WHEN text = '' THEN 'sourceStated' ELSE 'proposed' END AS level FROM f""")
+def verification_levels(t):
+    """What documents say of proposed values, which are taken from them, changed, or others' (A31, X1, J23, J34)."""
+    k, text = F.col("doc_id"), F.col("text")
+    new = F.when(k % 4 == 0, F.substring(text, 11, 30)).when(k % 4 == 1, F.upper(F.substring(text, 5, 25))).when(k % 4 == 2, F.concat(F.lit("zq"), k.cast("string"), F.lit(" name"))).otherwise("")
+    changes = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("shortTitle").alias("field"), F.trim(F.coalesce(new, F.lit(""))).alias("new"))
+    return records.verify(changes, F.col("text"), F.when(k % 3 == 0, F.lit("another value")), k % 5 == 0).select("doc_id", "level")
+
+
+@query(f"""
+WITH b AS (SELECT item_id, text, substr(text, 1, 10 + item_id % 30) AS title, ['Adams', 'Brown', 'Clark'][1:1 + item_id % 3] AS names, item_id % 2 = 0 AS doi, item_id % 5 = 0 AS unclear FROM benchmark),
+p AS (SELECT *, text || CASE item_id % 4 WHEN 0 THEN ' Adams' WHEN 1 THEN ' ADAMS, Brown' WHEN 2 THEN '' ELSE ' Brown and Clark' END || CASE WHEN item_id % 3 = 0 THEN ' 2019' ELSE '' END AS page FROM b),
+x AS (SELECT item_id, doi AND NOT unclear AS doi_same, unclear, length({_FOLD.format("title")}) >= 12 AND contains({_FOLD.format("page")}, {_FOLD.format("title")}) AS titled, len(list_filter(names, lambda n: contains({_FOLD.format("page")}, lower(n)))) >= ceil(len(names) / 2.0) AS authored, contains(page, '2019') AS dated FROM p)
+SELECT item_id, doi_same AS doi, titled AS title, authored AS authors, dated AS year, unclear AS ambiguous, doi_same AND NOT unclear AND (titled OR (authored AND dated)) AS bound FROM x""")
 def registry_bindings(t):
     """Five checks that tie records to documents."""
-    key = F.col("c_custkey").cast("string")
-    page = F.concat(F.lit("10.1234/"), F.when(F.col("c_custkey") % 2 == 0, key).otherwise("other"))
-    title = F.concat(F.lit("On the habits of "), "c_name")
-    b = records.binding(F.concat(F.lit("10.1234/"), key), page, title, F.concat(title, F.lit(" by A. Adams, 2019")), F.array(F.lit("Adams")), F.lit("2019"))
-    return t("customer").select("c_custkey", b.alias("b")).select("c_custkey", "b.doi", "b.title", "b.bound")
+    k, key = F.col("item_id"), F.col("item_id").cast("string")
+    page = F.concat("text", F.get(F.array(F.lit(" Adams"), F.lit(" ADAMS, Brown"), F.lit(""), F.lit(" Brown and Clark")), (k % 4).cast("int")), F.when(k % 3 == 0, " 2019").otherwise(""))
+    printed = F.concat(F.lit("10.1234/"), F.when(k % 2 == 0, key).otherwise("other"), F.when(k % 5 == 0, ".").otherwise(""))
+    names = F.slice(F.array(F.lit("Adams"), F.lit("Brown"), F.lit("Clark")), F.lit(1), (1 + k % 3).cast("int"))
+    b = records.binding(F.concat(F.lit("10.1234/"), key), printed, F.substring("text", F.lit(1), (10 + k % 30).cast("int")), page, names, F.lit("2019"))
+    return t("benchmark").select("item_id", b.alias("b")).select("item_id", "b.*")
+
+
+#: Each customer's document has 3 to 8 pages, references from one on, a page without its number, and numbers that start anywhere.
+_SHAPE = "SELECT DISTINCT o_custkey AS doc_id, 3 + o_custkey % 6 AS n, 2 + o_custkey % 5 AS refs, 1 + o_custkey % 4 AS bare, o_custkey % 50 AS shift FROM orders"
 
 
 def _paged(t):
     key, page = F.col("o_custkey"), F.col("page")
-    rows = t("orders").select("o_custkey").distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    body = F.when(page == 1, F.concat(F.lit("A study of customer "), key.cast("string"))).when(page == 4, "References").otherwise(F.concat(F.lit("text of page "), page.cast("string"), F.lit(" and "), key.cast("string"), F.lit(" more")))
-    parts = [F.lit("Journal of Orders"), body, F.lit("first"), F.lit("second"), F.concat(F.lit("line"), F.hex(F.xxhash64("o_custkey", "page"))), F.when(page != 3, (page + 100).cast("string"))]
+    rows = t("orders").select("o_custkey").distinct().withColumn("page", F.explode(F.sequence(F.lit(1), (3 + key % 6).cast("int"))))
+    body = F.when(page == 1, F.concat(F.lit("A study of customer "), key.cast("string"))).when(page == 2 + key % 5, "References").otherwise(F.concat(F.lit("text of page "), page.cast("string"), F.lit(" and "), key.cast("string"), F.lit(" more")))
+    parts = [F.lit("Journal of Orders"), body, F.lit("first"), F.lit("second"), F.concat(F.lit("line"), F.hex(F.xxhash64("o_custkey", "page"))), F.when(page != 1 + key % 4, (page + key % 50).cast("string"))]
     return rows.select(key.alias("doc_id"), "page", F.concat_ws("\n", *parts).alias("text"))
 
 
-@query("""
-SELECT DISTINCT o_custkey AS doc_id, CAST(p AS INT) AS page, CASE WHEN p >= 4 THEN 'references' ELSE 'body' END AS role FROM orders, range(1, 6) r(p)""")
+@query(f"""
+SELECT doc_id, CAST(p AS INT) AS page, CASE WHEN p >= refs THEN 'references' ELSE 'body' END AS role FROM ({_SHAPE}) s, range(1, 9) r(p) WHERE p <= n""")
 def page_roles(t):
     """What pages are, references carried on."""
     return pages.roles(_paged(t))
 
 
-@query("""SELECT DISTINCT o_custkey AS doc_id, 100 AS "offset", 1 AS first, 2 AS last FROM orders""")
+@query(f"""
+SELECT doc_id, shift AS "offset", CASE WHEN bare > n THEN 1 WHEN bare - 1 >= n - bare THEN 1 ELSE bare + 1 END AS first, CASE WHEN bare > n THEN n WHEN bare - 1 >= n - bare THEN bare - 1 ELSE n END AS last FROM ({_SHAPE}) s
+WHERE CASE WHEN bare > n THEN n ELSE greatest(bare - 1, n - bare) END >= 2""")
 def folio_runs(t):
-    """The longest run of printed page numbers."""
+    """The longest run of printed page numbers, the earlier of equals."""
     return pages.folio_run(_paged(t))
 
 

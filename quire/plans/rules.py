@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import decisions
 from quire.functions.basics import is_empty
-from quire.operators import joins
+from quire.operators import aggregates, joins
 from quire.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -175,18 +175,22 @@ def valid_fields(t):
     return met.select("o_orderkey", F.array_join(F.array_intersect(fields, "valid"), ",").alias("kept"), F.array_join(F.array_except(fields, "valid"), ",").alias("dropped"))
 
 
-@query("""
-SELECT o_custkey, CASE WHEN n = 0 THEN 'noFile' WHEN n = 1 THEN 'one' WHEN main = 1 THEN 'oneMain' WHEN main = 0 AND urgent = 1 THEN 'oneLabelled' ELSE 'several' END AS choice FROM (
-  SELECT c_custkey AS o_custkey, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus = 'P') AS main, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)""")
+_FILES = """SELECT c_custkey AS item, o_orderkey AS file, CASE WHEN o_orderkey % 7 = 0 THEN 'Supplementary Information' WHEN o_orderkey % 7 = 1 THEN 'paper_SI.pdf' WHEN o_orderkey % 7 = 2 THEN 'appendix 2.pdf' ELSE 'Full text ' || o_orderkey || '.pdf' END AS label,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'Supporting information for the paper' ELSE repeat('front matter ', 100) || 'supporting information' END AS front, o_orderkey % 4 > 0 AS present FROM customer LEFT JOIN orders ON o_custkey = c_custkey"""
+
+
+@query(f"""
+WITH f AS (SELECT *, regexp_matches(label, '(?i)supplement|supporting|appendix|(^|[^a-z])si([^a-z]|$)') AS by_label, regexp_matches(lower(front[1:1200]), 'supplementa|supporting information') AS by_text FROM ({_FILES})),
+c AS (SELECT item, count(file) AS n, count(*) FILTER (file IS NOT NULL AND NOT by_label) AS main, count(*) FILTER (file IS NOT NULL AND NOT by_label AND NOT by_text) AS own, min(file) AS f0, min(file) FILTER (NOT by_label) AS f1, min(file) FILTER (NOT by_label AND NOT by_text) AS f2 FROM f GROUP BY 1),
+p AS (SELECT *, CASE WHEN n = 1 THEN f0 WHEN main = 1 THEN f1 WHEN own = 1 THEN f2 END AS file FROM c)
+SELECT item, CASE WHEN n = 0 THEN 'noPDF' WHEN p.file IS NULL THEN 'multiplePDFs' WHEN NOT f.present THEN 'missingFile' ELSE 'chosen' END AS choice, CASE WHEN f.present THEN p.file END AS file FROM p LEFT JOIN f USING (item, file)""")
 def primary_file(t):
-    """Which of several files is the main one."""
-    counts = t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("main"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    rows = t("customer").select(F.col("c_custkey").alias("o_custkey")).join(counts, "o_custkey", "left").fillna(0)
-    choice = (
-        F.when(F.col("n") == 0, "noFile").when(F.col("n") == 1, "one").when(F.col("main") == 1, "oneMain")
-        .when((F.col("main") == 0) & (F.col("urgent") == 1), "oneLabelled").otherwise("several")
-    )
-    return rows.select("o_custkey", choice.alias("choice"))
+    """Which of several files is the main one: supplements go by their label, then by their front matter."""
+    k = F.col("o_orderkey")
+    label = F.when(k % 7 == 0, "Supplementary Information").when(k % 7 == 1, "paper_SI.pdf").when(k % 7 == 2, "appendix 2.pdf").otherwise(F.concat(F.lit("Full text "), k.cast("string"), F.lit(".pdf")))
+    front = F.when(k % 5 == 0, "Supporting information for the paper").otherwise(F.concat(F.repeat(F.lit("front matter "), 100), F.lit("supporting information")))
+    files = t("orders").select(F.col("o_custkey").alias("item"), k.alias("file"), label.alias("label"), front.alias("front"), (k % 4 > 0).alias("present"))
+    return aggregates.primary_files(t("customer").select(F.col("c_custkey").alias("item")), files, "item", "file")
 
 
 @query("""
