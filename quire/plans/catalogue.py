@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quire.plans import judging, lookups, relational, rules, scalars, statements, summaries, texts
+from quire.plans import caches, judging, lookups, relational, rules, scalars, statements, summaries, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for part in (relational, summaries, scalars, rules, texts, judging, lookups, statements):
+for part in (relational, summaries, scalars, rules, texts, judging, lookups, statements, caches):
     QUERIES |= part.REGISTRY.queries
     ORACLE |= part.REGISTRY.oracle

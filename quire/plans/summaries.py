@@ -43,33 +43,6 @@ def count_by_key(t):
     return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("""
-SELECT count(*) FILTER (d AND NOT i) AS doi_only, count(*) FILTER (i AND NOT d) AS isbn_only, count(*) FILTER (d AND i) AS both, count(*) FILTER (NOT d AND NOT i) AS neither
-FROM (SELECT contains(text, 'the') AS d, contains(text, 'token') AS i FROM documents)""")
-def identifier_sets(t):
-    """Which of two marks a text has (A3)."""
-    d, i = F.contains("text", F.lit("the")), F.contains("text", F.lit("token"))
-    parts = {"doi_only": d & ~i, "isbn_only": i & ~d, "both": d & i, "neither": ~d & ~i}
-    return t("documents").agg(*(F.count_if(c).alias(n) for n, c in parts.items()))
-
-
-@query("""
-SELECT outcome, count(*) AS n FROM (
-  SELECT CASE WHEN stored = '' THEN 'missing' WHEN bool_or(printed = stored) THEN 'exact' WHEN bool_or(printed IS NOT NULL) THEN 'differs' ELSE 'notPrinted' END AS outcome
-  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS stored FROM orders) o LEFT JOIN (SELECT l_orderkey, l_linestatus AS printed FROM lineitem) l ON l_orderkey = o_orderkey
-  GROUP BY o_orderkey, stored) GROUP BY outcome""")
-def printed_against_stored(t):
-    """One outcome for each record from its candidates (A4)."""
-    stored = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderstatus")).alias("stored"))
-    printed = t("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("printed"))
-    met = stored.join(printed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    outcome = (
-        F.when(F.col("stored") == "", "missing").when(F.array_contains("printed", F.col("stored")), "exact")
-        .when(F.size("printed") > 0, "differs").otherwise("notPrinted")
-    )
-    return met.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""
 SELECT count(*) AS rows, CAST(sum(lines) AS BIGINT) AS proposed, CAST(sum(returned) AS BIGINT) AS verified, CAST(sum(lines) FILTER (returned > 0) AS BIGINT) AS held FROM (
   SELECT o_orderkey, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS returned FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""")

@@ -82,3 +82,38 @@ def fixtures_for(urls: DataFrame, fixtures: DataFrame) -> DataFrame:
     met = urls.join(small(fixtures), fits)
     first = met.groupBy("url").agg(F.min_by(F.struct(*fixtures.columns), "ordinal").alias("f"))
     return first.select("url", "f.*")
+
+
+def text_states(items: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Each item's state in a text cache (``content``, ``readable``): missing, unreadable, empty or present."""
+    met = items.join(cache.select(key, "content", "readable"), key, "left")
+    empty = F.trim(F.coalesce("content", F.lit("")), F.lit(" \t\r\n\f")) == ""
+    state = F.when(F.col("readable").isNull(), "missing").when(~F.col("readable"), "unreadable").when(empty, "empty").otherwise("present")
+    return met.select(key, state.alias("state"))
+
+
+def cached_row_counts(bodies: DataFrame, body: str) -> DataFrame:
+    """How many cached rows in JSON parse, are corrupt, name no item, or name one that another does; the item may be in the row's fingerprint."""
+    parsed = F.try_parse_json(body).isNotNull()
+    key = F.coalesce(F.get_json_object(body, "$.key"), F.get_json_object(F.get_json_object(body, "$.print"), "$.key"))
+    rows = bodies.select(parsed.alias("parsed"), F.when(parsed, key).alias("key"))
+    n = lambda c: F.count(F.when(c, 1))
+    keyed = F.col("key").isNotNull()
+    return rows.agg(
+        F.count(F.lit(1)).alias("files"), n(F.col("parsed")).alias("parsed"), n(~F.col("parsed")).alias("corrupt"), n(F.col("parsed") & ~keyed).alias("without_key"), (n(keyed) - F.count_distinct("key")).alias("duplicates")
+    )
+
+
+#: Pages that are read of a transcript, and characters of a page's text and layout.
+PAGES, TEXT, LAYOUT = 12, 12_000, 24_000
+
+
+def transcript_pages(transcripts: DataFrame, document: str, text: str) -> DataFrame:
+    """Pages of transcripts with marks ``--- PAGE n ---``: page, text, layout and whether the text was cut; blank ones are left out."""
+    mark = r"(?m)^--- PAGE (\d+) ---[^\S\n]*\n?"
+    numbers = F.regexp_extract_all(text, F.lit(mark), F.lit(1))
+    bodies = F.split(text, mark, -1)
+    each = F.arrays_zip(numbers.alias("page"), F.slice(bodies, F.lit(2), F.size(numbers)).alias("body"))
+    rows = transcripts.select(document, F.inline(each)).select(document, F.col("page").try_cast("int").alias("page"), F.trim(F.replace(F.col("body"), F.lit("\f"), F.lit("")), F.lit(" \t\r\n")).alias("body"))
+    kept = rows.where(F.col("page").between(1, PAGES) & (F.col("body") != ""))
+    return kept.select(document, "page", F.left("body", F.lit(TEXT)).alias("text"), F.left("body", F.lit(LAYOUT)).alias("layout"), (F.char_length("body") > TEXT).alias("truncated"))

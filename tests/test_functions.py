@@ -69,6 +69,28 @@ def test_folds(spark):
     assert values(spark, ["H<sub>2</sub>O ﬁ"], titles.fold_compatible) == ["h2ofi"]
 
 
+def test_only_whole_names_of_months_count(spark):
+    cases = ["Decade 3, 2019", "Maybe 5, 2019", "Mai 2019", "März 2019", "3. Oktober 2019", "5월 2019", "2019年", "2019年5月7日", "3 de mayo de 2019", "Sept. 4, 2019", "２０１９．０５．０７", "2019 May 7", "31 April 2019", "2019 |", "Jan • 2019", "1er mai 2019"]
+    want = [None, None, "2019-05", "2019-03", "2019-10-03", "2019-05", "2019", "2019-05-07", "2019-05-03", "2019-09-04", "2019-05-07", None, None, None, "2019-01", "2019-05-01"]
+    assert values(spark, cases, dates.canonical_date) == want
+
+
+def test_notes_on_editions_go(spark):
+    cases = ["A title (2nd ed.)", "A title [Hard Cover] (Reprint 2019).", "A title (revised edition) (e-book) (pbk)", "A (new) title", "A title (New Edition)", "A title (1984)", "(2nd edition)", "A title (second thoughts)"]
+    assert values(spark, cases, titles.title_core) == ["A title", "A title", "A title (revised edition)", "A (new) title", "A title", "A title (1984)", "", "A title (second thoughts)"]
+
+
+def test_entities_three_deep(spark):
+    cases = ["a &amp;lt; b", "&amp;amp;amp;lt;", "&#233;&#xe9;", "&#1; &#x80; &#xD800; &#9999999;", "&unknown; &Omega;", "x &amp y", "&#128512;"]
+    assert values(spark, cases, web.decode_entities) == ["a < b", "&lt;", "éé", "&#1; &#x80; &#xD800; &#9999999;", "&unknown; Ω", "x &amp y", "😀"]
+
+
+def test_pages_that_ask_for_proof(spark):
+    cases = ["<title>Just a moment...</title>", "<p>unusual traffic</p>", "<p>captcha</p><meta name='citation_title'>", "<p>fine</p>", None, '<title>Sign in</title><input type="password">', "자동 등록 방지"]
+    assert values(spark, cases, web.is_challenge) == [True, True, False, False, False, False, True]
+    assert values(spark, cases, web.is_login_wall) == [False] * 5 + [True, False]
+
+
 def test_dates(spark):
     cases = ["2019", "2019-3", "2019/03/07", "3/2019", "March 7, 2019", "7 March 2019", "2019년 3월 7일", "2019-13", "2019-02-30", "x", None]
     want = ["2019", "2019-03", "2019-03-07", "2019-03", "2019-03-07", "2019-03-07", "2019-03-07", None, None, None, None]
@@ -95,8 +117,8 @@ def test_public_urls(spark):
 def test_web(spark):
     assert values(spark, ["<p>a&amp;b</p><script>x</script><div> c </div>"], web.visible_text) == ["a&b \nc".replace(" \n", "\n")]
     assert values(spark, ["https://x.org/a/one-two_three.html?x", "https://x.org/one-two", None], web.title_from_slug) == ["One two three", "", ""]
-    assert values(spark, ["https://x.org/?token=abc&y=1"], web.redact_url) == ["https://x.org/?token=***&y=1"]
-    cases = [(0, "", False), (200, "<html>", True), (403, "<input type='password'>", False), (403, "x", False), (429, "", False), (410, "", False), (500, "", False), (302, "", False), (200, "<html>captcha", False), (200, "plain", False), (200, "<html>", False)]
+    assert values(spark, ["https://x.org/?token=abc&y=1", "?access_token=SECRET&client_secret=S2&key=K#f"], web.redact_url) == ["https://x.org/?token=***&y=1", "?access_token=***&client_secret=***&key=***#f"]
+    cases = [(0, "", False), (200, "<html>", True), (403, "<title>Log in</title><input type='password'>", False), (403, "x", False), (429, "", False), (410, "", False), (500, "", False), (302, "", False), (200, "<html>captcha", False), (200, "plain", False), (200, "<html>", False)]
     want = ["serverError", "timeout", "authRequired", "blocked", "rateLimited", "noMatch", "serverError", "rejected", "blocked", "parseError", "record"]
     assert values(spark, cases, web.fetch_kind, "a int, b string, c boolean") == want
 
