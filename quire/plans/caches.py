@@ -176,3 +176,55 @@ def resumed_run(t):
 
     work = lambda rows: rows.withColumn("error", F.when(F.col("doc_id") % 9 == 0, "no text"))
     return run_rows(t("documents").select("doc_id"), t("labels").select("doc_id"), "doc_id", work)
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN o_custkey = o_custkey % 7 WHEN 3 THEN true ELSE false END AS same FROM orders""")
+def same_files(t):
+    """Whether two readings are of one file: by size and time where both state them, else by their text."""
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey")
+    mark = lambda path, length, at: F.to_json(F.struct(path.alias("path"), length.alias("length"), F.date_format(at, "yyyy-MM-dd").alias("modified")))
+    d = F.col("o_orderdate")
+    a = F.when(k < 3, mark(F.lit("a"), c, d)).otherwise(F.concat(F.lit("plain"), c.cast("string")))
+    b = F.when(k == 0, mark(F.lit("b"), c, d)).when(k == 1, mark(F.lit("a"), c, F.date_add(d, 1))).when(k == 2, mark(F.lit("a"), c % 7, d)).when(k == 3, F.concat(F.lit("plain"), c.cast("string"))).otherwise(F.lit("plain"))
+    return t("orders").select("o_orderkey", tables.same_file(a, b).alias("same"))
+
+
+#: Fixtures in order: what an address must hold, or match, and the status answered.
+FIXTURES = (("/en/1", False, 201), ("/de/", False, 202), (r"://[^/]*\.org/.*[02468]$", True, 203), ("http", False, 204))
+
+
+@query("""
+SELECT page_id, CASE WHEN contains(url, '/en/1') THEN 201 WHEN contains(url, '/de/') THEN 202 WHEN regexp_matches(url, '://[^/]*\\.org/.*[02468]$') THEN 203 ELSE 204 END AS status FROM pages WHERE contains(url, 'http')""")
+def fixture_answers(t):
+    """The first fixture that an address fits."""
+    urls = t("pages").select("page_id", "url")
+    listed = urls.sparkSession.createDataFrame([(i, m, r, n) for i, (m, r, n) in enumerate(FIXTURES)], "ordinal int, match string, is_regex boolean, status int")
+    met = tables.fixtures_for(urls.select("url").distinct(), listed).select("url", "status")
+    return urls.join(met, "url").select("page_id", "status")
+
+
+@query("""
+WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '연구 ' || p_name WHEN 2 THEN '한국어 제목의 연구와 분석 ' || p_brand ELSE '한글만 있는 제목' END AS title FROM part),
+c AS (SELECT p_partkey, len(regexp_extract_all(title, '[가-힣]')) AS h, len(regexp_extract_all(title, '[A-Za-z]')) AS l FROM x)
+SELECT p_partkey, CASE WHEN h = 0 THEN 'none' WHEN h >= l THEN 'hangul' ELSE 'mixed' END AS script FROM c""")
+def title_scripts(t):
+    """Which letters prevail in a title."""
+    from quire.functions.titles import title_script
+
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    title = F.when(k == 0, name).when(k == 1, F.concat(F.lit("연구 "), name)).when(k == 2, F.concat(F.lit("한국어 제목의 연구와 분석 "), "p_brand")).otherwise("한글만 있는 제목")
+    return t("part").select("p_partkey", title_script(title).alias("script"))
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS doc_id, 1 + l_linenumber % 2 AS page, 10 * (l_partkey % 3) AS y, l_linenumber AS x, l_returnflag || l_linenumber AS word FROM lineitem),
+l AS (SELECT doc_id, page, y, string_agg(word, ' ' ORDER BY x, word) AS line FROM w GROUP BY 1, 2, 3)
+SELECT doc_id, page, string_agg(line, chr(10) ORDER BY y) AS text FROM l GROUP BY 1, 2""")
+def page_texts(t):
+    """Pages' texts from words with places."""
+    line = F.col("l_linenumber")
+    words = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), (1 + line % 2).alias("page"), (10 * (F.col("l_partkey") % 3) + 0.2).alias("y"), line.alias("x"), F.concat("l_returnflag", line.cast("string")).alias("text"))
+    lines = tables.lines_of_words(words)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"])
+    return lines.groupBy("doc_id", "page").agg(F.array_join(parts, "\n").alias("text"))

@@ -142,7 +142,7 @@ def folio_runs(t):
 
 @query("""SELECT DISTINCT o_custkey AS doc_id, 'A study of customer ' || o_custkey AS title FROM orders""")
 def document_titles(t):
-    """Titles past running heads."""
+    """Titles past running heads."""
     return pages.document_title(_paged(t))
 
 

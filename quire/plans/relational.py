@@ -90,7 +90,7 @@ def carry_forward_role(t):
 SELECT conv_id, turn, coalesce(next IS NOT NULL AND regexp_matches(next, '^[a-z]'), false) AS continues FROM (
   SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)""")
 def line_continuations(t):
-    """Whether the next row goes on with a sentence."""
+    """Whether the next row goes on with a sentence."""
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = t("conversations").select("conv_id", "turn", after.alias("next"))
     return rows.select("conv_id", "turn", F.coalesce(F.col("next").rlike("^[a-z]"), F.lit(False)).alias("continues"))
@@ -224,7 +224,7 @@ SELECT p_brand, p_partkey, price, second, CASE WHEN second IS NOT NULL AND price
   SELECT p_brand, p_partkey, p_retailprice AS price, lead(p_retailprice) OVER w AS second, row_number() OVER w AS n FROM part
   WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)) WHERE n = 1""")
 def best_second_margin(t):
-    """The best of each group, known only by a margin over the second."""
+    """The best of each group, known only by a margin over the second."""
     rows = t("part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("price"))
     best = windows.best_and_second(rows, ["p_brand"], "price", "p_partkey")
     near = F.coalesce(F.col("price") - F.col("second") < 1, F.lit(False))
@@ -343,7 +343,7 @@ def front_matter(t):
 SELECT conv_id, part, count(*) AS lines, max(length(line)) AS longest FROM (
   SELECT conv_id, turn AS part, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY conv_id, part""")
 def split_pages(t):
-    """Texts cut into lines, numbered."""
+    """Texts cut into lines, numbered (X11)."""
     lines = t("conversations").select("conv_id", F.col("turn").alias("part"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("lines"), F.max(F.char_length("line")).cast("long").alias("longest"))
 
@@ -367,7 +367,7 @@ def lines_of_words(t):
 @query("""SELECT event_id, user_id, CAST(floor((epoch_us(ts) - epoch_us(prev)) / 1000) AS BIGINT) AS wait_ms FROM (
   SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE floor((epoch_us(ts) - epoch_us(prev)) / 1000) < 3000000""")
 def spacing_violations(t):
-    """Calls sooner after the last than allowed."""
+    """Calls sooner after the last than allowed."""
     return windows.gaps_below(t("events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 3_000_000).select("event_id", "user_id", "wait_ms")
 
 
@@ -384,7 +384,7 @@ def budget_ledger(t):
 
 @query("""SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def pending_rows(t):
-    """What no run has done yet."""
+    """What no run has done yet (R2)."""
     return t("documents").select("doc_id", "lang").join(t("labels").select("doc_id"), "doc_id", "left_anti")
 
 
@@ -420,7 +420,7 @@ def latest_state_of_log(t):
 
 @query("""SELECT p_partkey, p_name FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_partkey % 10 = 0""")
 def upsert_by_key(t):
-    """Rows replaced by key."""
+    """Rows replaced by key (K5, K7)."""
     p = t("part").select("p_partkey", "p_name")
     return sinks.replace_by_key(p, p.where("p_partkey % 10 = 0").select("p_partkey", F.lit("new").alias("p_name")), ["p_partkey"])
 
@@ -433,7 +433,7 @@ def export_all_rows(t):
 
 @query("""SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus))[1] AS first, count(DISTINCT o_orderpriority) AS kinds FROM orders GROUP BY o_custkey""")
 def distinct_queries(t):
-    """Distinct values of a key in order of first use."""
+    """Distinct values of a key in order of first use."""
     return t("orders").groupBy("o_custkey").agg(F.min("o_orderstatus").alias("first"), F.count_distinct("o_orderpriority").alias("kinds"))
 
 

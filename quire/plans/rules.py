@@ -206,7 +206,7 @@ def recommended_changes(t):
 @query("""
 SELECT doc_id, length(text) BETWEEN 4 AND 200 AND NOT regexp_matches(text, '[.] .*[.] ') AS askable, CASE WHEN text = '' THEN 'empty' WHEN n_chars < 200 THEN 'short' ELSE 'present' END AS state FROM documents""")
 def usable_queries(t):
-    """Texts short enough to ask for, and states of texts."""
+    """Texts short enough to ask for, and states of texts."""
     n = F.char_length("text")
     state = F.when(is_empty(F.col("text")), "empty").when(F.col("n_chars") < 200, "short").otherwise("present")
     return t("documents").select("doc_id", (n.between(4, 200) & ~F.col("text").rlike("[.] .*[.] ")).alias("askable"), state.alias("state"))

@@ -20,7 +20,7 @@ SELECT p_partkey, CASE WHEN c = 10 THEN d || 'X' ELSE d || c END AS isbn10, '978
     list_sum(list_transform(range(1, 13), lambda i: CAST(('978' || d)[i:i] AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) AS s
   FROM (SELECT p_partkey, {DIGITS} AS d FROM part))""")
 def isbn_checksum(t):
-    """ISBN check digits and their conversion."""
+    """ISBN check digits and their conversion."""
     digits = F.lpad(((F.col("p_partkey") * 7919) % 1_000_000_000).cast("string"), 9, "0")
     check = (11 - identifiers.digit_sum(F.col("d"), 9, lambda i: 11 - i) % 11) % 11
     ten = F.concat("d", F.when(check == 10, "X").otherwise(check.cast("string")))
@@ -309,19 +309,22 @@ def author_overlaps(t):
     return met.select("a", "b", F.round(author_overlap(F.col("la"), F.col("lb")), 6).alias("overlap"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT l_orderkey, v, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM (SELECT l_orderkey, 0 AS side, l_returnflag AS v FROM lineitem UNION ALL SELECT l_orderkey, 1, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE l_linestatus END FROM lineitem WHERE l_linenumber > 1) GROUP BY 1, 2)
+SELECT l_orderkey, sum(b) > 0 AND sum(least(a, b)) / greatest(sum(a), sum(b)) < 0.5 AS differ FROM c GROUP BY 1 HAVING sum(a) > 0""")
 def creators_differ(t):
-    """Greedy matching of two lists (J14, J15); its order is its meaning, so there is no SQL."""
+    """Matching of two lists, each name used once: equal names share as bags do."""
+    status = F.when(F.col("l_linestatus") == "F", "A").otherwise(F.col("l_linestatus"))
+    listed = lambda c, n: F.transform(F.array_sort(F.collect_list(F.when(c, n))), lambda x: x["v"])
     by = t("lineitem").groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("stored"),
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_linestatus"))), lambda x: x["l_linestatus"]).alias("read"),
+        listed(F.lit(True), F.struct("l_linenumber", F.col("l_returnflag").alias("v"))).alias("stored"), listed(F.col("l_linenumber") > 1, F.struct("l_linenumber", status.alias("v"))).alias("read")
     )
     return by.select("l_orderkey", joins.creators_differ(F.col("stored"), F.col("read")).alias("differ"))
 
 
-@query()
+@query("""SELECT doc_id, sha256(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', '', 'g')) AS folded FROM documents""")
 def folded_names(t):
-    """Letters without marks (C15, C16); SQL has no such normalisation."""
+    """Letters without marks; the SQL holds for texts of Latin letters."""
     return t("documents").select("doc_id", F.sha2(titles.folded_letters(F.col("text")), 256).alias("folded"))
 
 
