@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.windows import in_order
+
 Step = Callable[[DataFrame], DataFrame]
 
 #: What an attempt leaves on a row, dropped before the next; outcomes that are asked again; a page's age in a cache.
@@ -187,14 +189,8 @@ def run_rows(rows: DataFrame, done: DataFrame, key: str, work: Step) -> DataFram
     """``work`` on the rows that no earlier run has done: key, place in order, state (done or failed) and error.
 
     A row's failure is a value of the ``error`` column that ``work`` adds, so
-    others go on. Places come from counts over ranges of the key, so that no
-    task sorts all rows.
+    others go on.
     """
     open_ = work(rows.join(done.select(key).distinct(), key, "left_anti"))
-    ordered = open_.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each range
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = ordered.withColumn("_at", inside).join(F.broadcast(before), "_part")
     state = F.when(F.col("error").isNull(), "done").otherwise("failed")
-    return numbered.select(key, (F.col("_before") + F.col("_at")).cast("long").alias("n"), state.alias("state"), "error")
+    return in_order(open_, F.col(key), name="n").select(key, "n", state.alias("state"), "error")

@@ -97,11 +97,39 @@ def hits(text: Column, word: str) -> Column:
 def span_cover(positions: DataFrame, keys: Sequence[str], start: str, end: str, word: str, wanted: int, share: float = 0.85) -> DataFrame:
     """Keys for which a stretch of ``max(2n, n + 80)`` units holds enough of ``wanted`` (n) distinct words.
 
-    Each hit's window reaches back from its end; hits that begin before it don't count.
+    A hit counts for all stretches that end from its own end to ``reach`` after
+    its start. The intervals of each word are joined, so it counts once
+    wherever it is; then the most that lie over one place are counted as they
+    open and close. Each hit is sorted twice, however many there are of a word.
     """
     reach = max(2 * wanted, wanted + 80)
-    w = Window.partitionBy(*keys).orderBy(end).rangeBetween(-reach, 0)
-    seen = F.collect_list(F.struct(F.col(start).alias("s"), F.col(word).alias("w"))).over(w)
-    inside = F.array_distinct(F.transform(F.filter(seen, lambda x: x["s"] >= F.col(end) - reach), lambda x: x["w"]))
-    best = positions.withColumn("_n", F.size(inside)).groupBy(*keys).agg(F.max("_n").alias("covered"))
+    spans = positions.select(*keys, word, F.col(end).alias("_from"), (F.col(start) + reach).alias("_to")).where(F.col("_from") <= F.col("_to"))
+    joined = interval_union(spans, [*keys, word], "_from", "_to")
+    turns = F.array(F.struct(F.col("start").alias("_at"), F.lit(0).alias("_close")), F.struct(F.col("end").alias("_at"), F.lit(1).alias("_close")))
+    w = Window.partitionBy(*keys).orderBy("_at", "_close").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = joined.select(*keys, F.inline(turns)).withColumn("_n", F.sum(1 - 2 * F.col("_close")).over(w))
+    best = over.groupBy(*keys).agg(F.max("_n").cast("int").alias("covered"))
     return best.withColumn("supported", F.col("covered") >= share * wanted)
+
+
+#: Rows that a range of ``in_order`` aims to have, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 500_000, 1024
+
+
+def in_order(rows: DataFrame, key: Column, *ties: Column | str, name: str = "place") -> DataFrame:
+    """``rows`` with their places in the order of ``key`` and ``ties``, from 1 on.
+
+    Rows are dealt into ranges between quantiles of the key, ranked within, and
+    the rows of the ranges before are added, so no task sorts them all. The
+    driver holds the quantiles.
+    """
+    keyed = rows.withColumn("_key", key)
+    ranges = min(MOST_RANGES, keyed.count() // RANGE_ROWS + 1)
+    bounds = sorted(set(keyed.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])) if ranges > 1 else []
+    within = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    dealt = keyed.withColumn("_range", within)
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # no more rows than ranges
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key", *ties))
+    placed = dealt.withColumn("_own", own).join(F.broadcast(before), "_range")
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias(name))

@@ -349,8 +349,11 @@ def benchmark_containment(t):
     inner = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 2, F.greatest(F.lit(0), F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     items = t("benchmark").select("item_id", F.col("text").alias("wanted"), longest.alias("word"))
-    docs = t("documents").select("doc_id", "text", F.explode(words(F.col("text"))).alias("word"))
-    blocked = docs.join(joins.small(items), "word").where(F.contains("text", F.col("wanted"))).select("item_id")
+    # Words go without their text; it comes back once for each document that has candidates.
+    docs = t("documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    found = docs.join(joins.small(items), "word").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("item_id", "wanted")).alias("items"))
+    texts = t("documents").select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id")))
+    blocked = texts.select(F.inline(F.filter("items", lambda x: F.contains(F.col("text"), x["wanted"])))).select("item_id")
     loose = joins.small(items.where("word IS NULL AND wanted IS NOT NULL").select("item_id", "wanted"))
     whole = t("documents").select("text").join(loose, F.contains("text", F.col("wanted"))).select("item_id")
     met = blocked.unionAll(whole).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))

@@ -153,3 +153,28 @@ def test_stream_budgets(spark, tmp_path):
     for r in out.orderBy("provider", "at").collect():
         got.setdefault(r["provider"], []).append(r["admitted"])
     assert got == {"p": [True] * 6 + [False] * 2, "q": [True, False], "r": [True, False, True]}
+
+
+def test_places_over_many_ranges(spark, monkeypatch):
+    from quire.operators import windows
+
+    monkeypatch.setattr(windows, "RANGE_ROWS", 7)
+    df = spark.createDataFrame([(i, i * 37 % 50) for i in range(200)], "k int, v int")
+    got = {r["k"]: r["place"] for r in windows.in_order(df, F.col("v"), "k").collect()}
+    order = sorted(range(200), key=lambda i: (i * 37 % 50, i))
+    assert got == {k: n for n, k in enumerate(order, 1)}
+
+
+def test_most_words_in_a_stretch(spark):
+    import itertools
+    import random
+
+    from quire.operators import windows
+
+    random.seed(5)
+    rows = [(k, s, s + len(w), w) for k in range(20) for w in ("aa", "bbb", "c") for s in random.sample(range(400), random.randint(0, 6))]
+    df = spark.createDataFrame(rows, "k int, s int, e int, w string")
+    got = {r["k"]: r["covered"] for r in windows.span_cover(df, ["k"], "s", "e", "w", 3).collect()}
+    reach = 83
+    want = {k: max(len({w for _, s, e, w in g if s >= at - reach and e <= at}) for _, _, at, _ in g) for k, g in ((k, list(g)) for k, g in itertools.groupby(rows, lambda r: r[0]))}
+    assert got == want
