@@ -31,6 +31,35 @@ def shingles(text: str, width: int = 5) -> set[tuple]:
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
+def sketch(text: str, width: int = 5, k: int = 128) -> list[int]:
+    """The k least distinct hashes, as signed numbers; words are hashed one after another, each with the hash before as seed."""
+    import xxhash
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if not words:
+        return []
+    runs = [words[i : i + width] for i in range(len(words) - width + 1)] or [[" ".join(words)]]
+    found = set()
+    for run in runs:
+        h = 42
+        for w in run:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(found)[:k]
+
+
+def printed(hashes: list[int]) -> str:
+    import base64
+    import struct
+
+    return base64.b64encode(struct.pack(f">{len(hashes)}q", *hashes)).decode()
+
+
+def likeness(a: list[int], b: list[int], k: int = 128) -> float:
+    union = sorted({*a, *b})[:k]
+    return len([h for h in union if h in a and h in b]) / len(union) if union else 1.0
+
+
 def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -42,7 +71,8 @@ def edited(rows: list[tuple[int, str | None]]) -> dict[int, dict]:
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
         q = len(text) // 4
         new = text[: len(text) - q] + after[:q]
-        out[k] = {"n_chars": len(text), "edited_sha256": sha(new), "near_edited": jaccard(shingles(text), shingles(new)), "near_next": jaccard(shingles(text), shingles(after))}
+        sketches = {"fingerprint": printed(sketch(text)), "edited_fingerprint": printed(sketch(new)), "near": likeness(sketch(text), sketch(new)), "near_after": likeness(sketch(text), sketch(after))}
+        out[k] = sketches | {"n_chars": len(text), "edited_sha256": sha(new), "near_edited": jaccard(shingles(text), shingles(new)), "near_next": jaccard(shingles(text), shingles(after))}
     return out
 
 

@@ -364,6 +364,16 @@ def test_near_duplicates_of_odd_tables(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_trees_propose_what_bands_miss(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:200], "x", *words[201:]])), (3, "other words than these are here")], "doc_id long, text string")
+    found = storage.materialise(simhash.signatures(docs), "signatures")
+    apart = found.withColumn("bands", F.array_repeat(F.col("key"), simhash.BANDS))  # no band is shared
+    distinct = storage.materialise(apart.select("key", "fp", "bands"), "distinct")
+    groups = simhash.candidate_groups(distinct).collect()
+    assert len(groups) == 2 and {g["n"] for g in groups} == {2}
+
+
 def similar(rows: list[tuple[int, str]], similarity: float = 0.8) -> list[list[int]]:
     """Groups of ids by links of all pairs, by brute force."""
     sets = {k: brute.shingles(t) for k, t in rows}
@@ -399,6 +409,16 @@ def test_templated_texts_are_all_measured(spark, piece):
     assert sorted(map(sorted, groups.values())) == want
 
 
+def test_recall_of_similar_pairs_over_the_smallest_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(k, "".join(c.lower() if c.isascii() else c for c in t or "")) for k, t in texts(docs)]
+    want = similar(rows)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    extra = [g for g in want if len(kept & set(g)) != 1]
+    assert any(len(g) > 1 for g in want) and len(extra) <= 0.1 * sum(len(g) > 1 for g in want)
+    assert all(kept & set(g) for g in want)  # no group is lost
+
+
 def test_repeated_passages_dont_hide_copies(spark):
     rows = []
     for k in range(20):

@@ -27,7 +27,10 @@ def test_brute(spark, small):
     want = brute.edited(docs)
     for r in queries.op3_fingerprints(spark, small).collect():
         assert (r["n_chars"], r["edited_sha256"]) == (want[r["doc_id"]]["n_chars"], want[r["doc_id"]]["edited_sha256"])
-        assert abs(r["near_edited"] - want[r["doc_id"]]["near_edited"]) < 0.2
+        w = want[r["doc_id"]]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (w["fingerprint"], w["edited_fingerprint"])
+        assert abs(r["near_edited"] - w["near"]) < 1e-9 and abs(r["near_next"] - w["near_after"]) < 1e-9
+        assert abs(r["near_edited"] - w["near_edited"]) < 0.2 and abs(r["near_next"] - w["near_next"]) < 0.2
     fps = {k: brute.simhash(t) for k, t in docs}
     linked = brute.linked(fps)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op7_simhash(spark, small).collect()}
