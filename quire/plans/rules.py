@@ -108,16 +108,26 @@ def restore_gate(t):
     return rows.select("o_orderkey", gate.alias("decision"), outcome.alias("outcome"))
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN k = 0 AND NOT id THEN 'conflict' WHEN id AND k IN (2, 3) AND (title OR authors OR k = 2) THEN 'sameEdition' WHEN id AND k IN (0, 1) THEN 'sameWork'
-  WHEN k = 2 AND (title OR authors) THEN 'sameEdition' WHEN k <> 1 AND title AND authors THEN 'sameEdition' WHEN title AND (authors OR k = 1) THEN 'sameWork' ELSE 'unknown' END AS relation
-FROM (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderstatus = 'P' AS id, o_custkey % 2 = 0 AS title, o_custkey % 3 = 0 AS authors FROM orders)""")
+_LINKS = """SELECT o_orderkey, ['article', 'book', 'report', 'thesis'][o_orderkey % 4 + 1] AS kind, o_custkey % 7 = 0 AS conflict, o_custkey % 5 = 0 AS soft, o_orderstatus = 'P' AS id, o_orderkey % 3 > 0 AS title, o_custkey % 3 > 0 AS authors,
+  o_orderpriority = '1-URGENT' AS coordinates, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS year, o_orderkey % 11 < 5 AS published, o_orderkey % 13 < 7 AS line, o_custkey % 2 = 0 AS people, o_orderkey % 10 = 0 AS exact, o_custkey % 11 = 0 AS citation FROM orders"""
+#: The same decision by what each outcome needs, not in the order of rules.
+_EDITION = """(id AND NOT conflict AND NOT soft AND (title OR authors OR coordinates OR kind = 'book')) OR (NOT id AND coordinates AND (title OR authors))
+  OR (NOT id AND NOT (coordinates AND (title OR authors)) AND NOT soft AND ((kind = 'book' AND title AND authors AND coalesce(year, false)) OR (kind = 'report' AND title AND authors AND coalesce(year, true)) OR (kind = 'thesis' AND title AND authors AND coalesce(year, true) AND NOT published)
+    OR (NOT (kind = 'thesis' AND published AND title) AND ((kind <> 'book' AND line AND people AND exact AND NOT citation) OR (kind = 'article' AND title AND authors AND year IS NULL AND NOT citation)))))
+  OR (id AND NOT conflict AND NOT soft AND NOT (title OR authors OR coordinates OR kind = 'book') AND kind <> 'book' AND line AND people AND exact AND NOT citation)"""
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN conflict AND NOT id THEN 'conflict' WHEN {_EDITION} THEN 'sameEdition' WHEN (id AND (conflict OR soft)) OR (title AND (authors OR coalesce(year, false) OR soft OR (kind = 'thesis' AND published))) THEN 'sameWork' ELSE 'unknown' END AS relation FROM ({_LINKS})""")
 def link_relation(t):
-    """How records stand to documents (J6): articles of unknown year without a citation line."""
-    k, i, title, authors = F.col("o_orderkey") % 4, F.col("o_orderstatus") == "P", F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 3 == 0
-    no = F.lit(False)
-    zero_one = lambda c: F.when(c, 1).otherwise(0)
-    relation = decisions.link_relation(zero_one(k == 0), zero_one(k == 1), i, title, authors, k == 2, F.lit(None).cast("boolean"), F.lit("article"), no, no, no, no, no)
+    """How records stand to documents, of all kinds."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    zero_one = lambda x: F.when(x, 1).otherwise(0)
+    kind = F.get(F.array(*map(F.lit, ("article", "book", "report", "thesis"))), (k % 4).cast("int"))
+    year = F.when(k % 5 == 0, True).when(k % 5 == 1, False)
+    relation = decisions.link_relation(
+        zero_one(c % 7 == 0), zero_one(c % 5 == 0), F.col("o_orderstatus") == "P", k % 3 > 0, c % 3 > 0, F.col("o_orderpriority") == "1-URGENT", year, kind, k % 11 < 5, k % 13 < 7, c % 2 == 0, k % 10 == 0, c % 11 == 0
+    )
     return t("orders").select("o_orderkey", relation.alias("relation"))
 
 
