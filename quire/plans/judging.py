@@ -87,13 +87,13 @@ _FOLD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 30) WHEN 1 THEN upper(substr(text, 5, 25)) WHEN 2 THEN 'zq' || doc_id || ' name' ELSE '' END AS new, doc_id % 3 = 0 AS rival, doc_id % 5 = 0 AS linked FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 30) WHEN 1 THEN replace(substr(text, 5, 25), ' ', ' - ') WHEN 2 THEN 'zq' || doc_id || ' name' ELSE '' END AS new, doc_id % 3 = 0 AS rival, doc_id % 5 = 0 AS linked FROM documents),
 f AS (SELECT *, {_FOLD.format("text")} AS t, {_FOLD.format("coalesce(new, '')")} AS v FROM d)
 SELECT doc_id, CASE WHEN coalesce(trim(new), '') = '' THEN 'unknown' WHEN v <> '' AND contains(t, v) THEN 'verified' WHEN rival THEN 'conflicting' WHEN linked THEN 'verified' WHEN text = '' THEN 'sourceStated' ELSE 'proposed' END AS level FROM f""")
 def verification_levels(t):
     """What documents say of proposed values, which are taken from them, changed, or others' (A31, X1, J23, J34)."""
     k, text = F.col("doc_id"), F.col("text")
-    new = F.when(k % 4 == 0, F.substring(text, 11, 30)).when(k % 4 == 1, F.upper(F.substring(text, 5, 25))).when(k % 4 == 2, F.concat(F.lit("zq"), k.cast("string"), F.lit(" name"))).otherwise("")
+    new = F.when(k % 4 == 0, F.substring(text, 11, 30)).when(k % 4 == 1, F.replace(F.substring(text, 5, 25), F.lit(" "), F.lit(" - "))).when(k % 4 == 2, F.concat(F.lit("zq"), k.cast("string"), F.lit(" name"))).otherwise("")
     changes = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("shortTitle").alias("field"), F.trim(F.coalesce(new, F.lit(""))).alias("new"))
     return records.verify(changes, F.col("text"), F.when(k % 3 == 0, F.lit("another value")), k % 5 == 0).select("doc_id", "level")
 
