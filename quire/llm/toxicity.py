@@ -273,14 +273,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     """A model from the labelled ``docs`` (doc_id, text) that aren't held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    sized = docs.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("n"))
-    sized = sized.where(F.col("n") <= sample_chars)
-    drawn = [known.where(F.col("toxic") == y).join(sized, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
-    # No more rows than ``toxic`` and ``clean`` allow, so that one window holds those of a label.
-    before = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    within = drawn[0].unionAll(drawn[1]).withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= sample_chars)
-    sample = materialise(within.select("doc_id", "toxic"), "toxicity-sample")
-    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    drawn = [known.where(F.col("toxic") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    sample = materialise(drawn[0].unionAll(drawn[1]), "toxicity-sample")  # no more rows than ``toxic`` and ``clean`` allow
+    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").withColumn("n", F.char_length("text")).where(F.col("n") <= sample_chars)
+    # The window holds a label's part of the sample alone.
+    before = Window.partitionBy("toxic").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= sample_chars)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in held), []) for i in range(3)), strict=True)) if (held := list(batches)) else []
