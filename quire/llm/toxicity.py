@@ -43,7 +43,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,18 +275,22 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     known = known.where(~held_out(F.col("doc_id")))
     drawn = [known.where(F.col("toxic") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
     sample = materialise(drawn[0].unionAll(drawn[1]), "toxicity-sample")  # no more rows than ``toxic`` and ``clean`` allow
-    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").withColumn("n", F.char_length("text")).where(F.col("n") <= sample_chars)
-    # The window holds a label's part of the sample alone.
-    before = Window.partitionBy("toxic").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = met.withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= sample_chars)
+    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").where(F.char_length("text") <= sample_chars)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in held), []) for i in range(3)), strict=True)) if (held := list(batches)) else []
+        rows, used = [], Counter()
+        for batch in batches:
+            for doc_id, text, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                used[label] += len(text)
+                if used[label] <= sample_chars:
+                    rows.append((doc_id, text, label))
+        rows.sort()
         model = fit([r[1] for r in rows], [r[2] for r in rows])
         yield pa.record_batch([pa.array([model.to_json() if model else None], pa.string())], names=["model"])
 
     # One task fits the bounded sample, so that its texts and the fit's arrays aren't the driver's.
-    found = met.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model string").where("model is not null").first()
+    held = met.select("doc_id", "text", "toxic", "h").repartition(1).sortWithinPartitions("h", "doc_id", "text")
+    found = held.mapInArrow(learn, "model string").where("model is not null").first()
     return Model.from_json(found["model"]) if found else None
 
 

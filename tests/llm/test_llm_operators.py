@@ -193,7 +193,8 @@ def test_marginals_match_the_plain_chain():
 
 
 def test_the_sample_is_bounded_by_documents_and_characters(spark):
-    docs = spark.createDataFrame([(i, "bad word " * 10 if i % 2 else "good word " * 10) for i in range(90)] + [(1000, "x " * 9000)], "doc_id long, text string")
+    other = lambda i, j: "".join(chr(97 + (i * 7 + j * 3 + k * k) % 26) for k in range(5))
+    docs = spark.createDataFrame([(i, " ".join(f"{'vile' if i % 2 else 'good'} {other(i, j)}" for j in range(10))) for i in range(90)] + [(1000, "x " * 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(1000, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels) is not None
     assert toxicity.train(docs, labels, sample_chars=80) is None  # no document is so short
