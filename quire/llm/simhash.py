@@ -244,10 +244,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, p
     fps = materialise(fingerprints(docs, width), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), radius, piece))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root")
-    # Only fingerprints with links take part, and only one row for each component is joined back to them.
-    named = materialise(placed.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    of_fp = placed.join(few(named, BROADCAST_KEYS), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # Only components of two or more are joined back, by one row each; a component's root has no row of its own in ``roots``.
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "component_id")
+    of_fp = placed.join(few(materialise(named, "named"), BROADCAST_KEYS), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(materialise(of_fp, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
