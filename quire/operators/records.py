@@ -47,12 +47,15 @@ def record_diff(stored: DataFrame, read: DataFrame, key: str = "key", authoritat
     The reading drives: what it doesn't state stays, unless it is
     ``authoritative``, which clears fields that it leaves out. ``valid`` (field)
     bounds the fields. Returns key, field, old, new.
+
+    Rows here are fields, several for each row of a table, which Spark's estimate
+    takes for one; so the joins name their method, and neither side is broadcast.
     """
     now = read.where(F.trim(blank(F.col("value"))) != "").select(key, "field", F.col("value").alias("new"))
     now = now.where(~F.col("field").isin(*BOOKKEEPING))
     if valid is not None:
         now = now.join(small(valid.select("field").distinct()), "field", "left_semi")
-    met = now.join(stored.select(key, "field", F.col("value").alias("_old")), [key, "field"], "left").withColumn("old", blank(F.col("_old")))
+    met = now.join(stored.select(key, "field", F.col("value").alias("_old")).hint("merge"), [key, "field"], "left").withColumn("old", blank(F.col("_old")))
     f, old, new = F.col("field"), F.col("old"), F.col("new")
     has = old != ""
     skip = (
@@ -67,8 +70,8 @@ def record_diff(stored: DataFrame, read: DataFrame, key: str = "key", authoritat
     merged = F.when(f.isin("ISBN", "ISSN") & has, identifiers.merged_identifiers(old, new)).otherwise(new)
     changes = met.where(~skip).withColumn("new", merged).where("old <> new").select(key, "field", "old", "new")
     if authoritative:
-        silent = stored.where(blank(F.col("value")) != "").where(~F.col("field").isin(*OWNED)).join(read.select(key, "field"), [key, "field"], "left_anti")
-        changes = changes.unionByName(silent.join(read.select(key).distinct(), key, "left_semi").select(key, "field", F.col("value").alias("old"), F.lit("").alias("new")))
+        silent = stored.where(blank(F.col("value")) != "").where(~F.col("field").isin(*OWNED)).join(read.select(key, "field").hint("merge"), [key, "field"], "left_anti")
+        changes = changes.unionByName(silent.join(read.select(key).distinct().hint("merge"), key, "left_semi").select(key, "field", F.col("value").alias("old"), F.lit("").alias("new")))
     return changes
 
 
