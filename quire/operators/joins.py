@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,50 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks dear work is dealt over: the session's shuffle partitions, which stay as many when their bytes are few."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], pieces: int = 16) -> DataFrame:
+    """Rows of equal keys, where pairs outnumber rows by far.
+
+    A block's left rows are dealt over ``pieces``, each of which meets all its
+    right rows, so that a large block is several tasks' work.
+    """
+    n = tasks(left)
+    dealt = left.withColumn("_piece", F.pmod(F.xxhash64(*(c for c in left.columns if c not in keys)), F.lit(pieces)).cast("int"))
+    each = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    on = [*keys, "_piece"]
+    return dealt.repartition(n, *on).join(each.repartition(n, *on).hint("merge"), on).drop("_piece")
+
+
+def class_pairs(rows: DataFrame, keys: Sequence[str], value: str, member: str, dressed: Column, score: Callable[[Column, Column], Column], most: int = 1024) -> DataFrame:
+    """All pairs a < b of ``member`` with equal ``keys``, and the symmetric ``score`` of what ``dressed`` makes of their values.
+
+    Rows of one value are a class: it is dressed once, and each pair of classes
+    is scored once, however many members both have. Classes of more than
+    ``most`` members are held in parts.
+    """
+    by = Window.partitionBy(*keys, value)
+    placed = rows.select(*keys, value, member).where(F.col(member).isNotNull()).withColumn("_part", F.floor((F.row_number().over(by.orderBy(member)) - 1) / most))
+    parts = placed.groupBy(*keys, value, "_part").agg(F.collect_list(member).alias("_all"), F.min(member).alias("_id")).withColumn("_d", dressed)
+    side = lambda s: parts.select(*keys, *(F.col(c).alias(f"{c}{s}") for c in ("_all", "_id", "_d")))
+    met = dealt_join(side("x"), side("y"), keys).where("_idx <= _idy").withColumn("score", score(F.col("_dx"), F.col("_dy")))
+    few = met.select("score", (F.col("_idx") == F.col("_idy")).alias("_own"), "_allx", "_ally").repartition(tasks(rows))
+    each = few.select("score", "_own", "_ally", F.explode("_allx").alias("x")).select("score", "_own", "x", F.explode("_ally").alias("y"))
+    # Two parts meet once, a part meets itself in both orders of its members.
+    return each.where("x <> y AND (NOT _own OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
+def by_value(rows: DataFrame, inputs: Sequence[str], **outputs: Column) -> DataFrame:
+    """``rows`` with ``outputs``, which depend on ``inputs`` alone and are worked out once for each of their values."""
+    values = rows.select(*inputs).distinct().repartition(tasks(rows)).select(*(F.col(c).alias(f"_{c}") for c in inputs), *(F.col(c) for c in inputs))
+    found = values.select(*(f"_{c}" for c in inputs), *(c.alias(n) for n, c in outputs.items()))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in inputs]
+    return rows.join(small(found), same).drop(*(f"_{c}" for c in inputs))
+
+
 def range_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: int) -> DataFrame:
     """Rows of ``points`` with the ``spans`` of equal keys that hold ``at``, ends included.
 

@@ -78,10 +78,9 @@ ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""
 def bigram_dice_parts(t):
     """Likeness of titles that share two keys (A18, J6's blocking)."""
     p = t("part").select("p_partkey", "p_brand", "p_size", titles.fold(F.col("p_name")).alias("f"))
-    q = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("f").alias("g"))
-    met = p.withColumnRenamed("p_partkey", "a").join(q, ["p_brand", "p_size"]).where("a < b")
-    same = F.col("f") == F.col("g")
-    return met.select("a", "b", F.round(F.when(same, 1.0).otherwise(titles.set_dice(F.col("f"), F.col("g"))), 6).alias("dice"))
+    dressed = F.struct(F.col("f"), F.array_distinct(titles.bigrams(F.col("f"))).alias("grams"))
+    dice = lambda x, y: F.when(x["f"] == y["f"], 1.0).otherwise(titles.gram_dice(x["grams"], y["grams"]))
+    return joins.class_pairs(p, ["p_brand", "p_size"], "f", "p_partkey", dressed, dice).select("a", "b", F.round("score", 6).alias("dice"))
 
 
 @query("""
