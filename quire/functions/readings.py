@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.basics import blank, let
+from quire.functions.basics import blank, let, let_both
 from quire.functions.identifiers import valid_isbn
 
 #: Ordinals, language names, legal forms of publishers, published forms.
@@ -79,21 +79,23 @@ def publisher_letters(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, rf"\b(?:{LEGAL_FORMS})\b", " "), r"[^\p{L}\p{N}]+", "")
 
 
-def same_publisher(a: Column, b: Column) -> Column:
-    """Equal but for legal forms, or one is the house's first word alone."""
-    x, y = publisher_letters(a), publisher_letters(b)
+def publisher_traits(value: Column) -> Column:
+    """What ``equal_publishers`` compares of a house."""
+    each = F.split(F.regexp_replace(F.regexp_replace(blank(value), r"\([^)]*\)", " "), "[.,]", ""), r"[^\p{L}\p{N}]+")
+    words = F.filter(F.transform(each, F.lower), lambda w: ~w.rlike(rf"^(?:|and|{LEGAL_FORMS})$"))
+    named = let(words, lambda w: F.struct(F.get(w, 0).alias("word"), (F.size(w) == 1).alias("alone")))
+    return let(named, lambda w: F.struct(publisher_letters(value).alias("letters"), w["word"].alias("word"), w["alone"].alias("alone")))
 
-    def words(v: Column) -> Column:
-        each = F.split(F.regexp_replace(F.regexp_replace(blank(v), r"\([^)]*\)", " "), "[.,]", ""), r"[^\p{L}\p{N}]+")
-        return F.filter(F.transform(each, F.lower), lambda w: ~w.rlike(rf"^(?:|and|{LEGAL_FORMS})$"))
 
-    def nested(p: Column) -> Column:
-        def other(q: Column) -> Column:
-            return ((F.size(p) == 1) | (F.size(q) == 1)) & (F.char_length(F.get(p, 0)) >= 4) & (F.get(p, 0) == F.get(q, 0))
+def equal_publishers(x: Column, y: Column) -> Column:
+    """``same_publisher`` of two houses' traits."""
+    nested = (x["alone"] | y["alone"]) & (F.char_length(x["word"]) >= 4) & (x["word"] == y["word"])
+    return (x["letters"] != "") & (y["letters"] != "") & ((x["letters"] == y["letters"]) | F.coalesce(nested, F.lit(False)))
 
-        return let(words(b), other)
 
-    return (x != "") & (y != "") & ((x == y) | F.coalesce(let(words(a), nested), F.lit(False)))
+def same_publisher(a: Column, b: Column) -> Column:
+    """Equal but for legal forms, or one is the house's first word alone."""
+    return let_both(publisher_traits(a), publisher_traits(b), equal_publishers)
 
 
 def reference_kind(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import names, readings
+from quire.operators import joins
 from quire.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -65,10 +66,11 @@ def publisher_equality(t):
     key = F.col("s_suppkey").cast("string")
     forms = ["{} Publishing Ltd.", "THE {} PRESS", "{}, Inc.", "{} GmbH & Co.", "{} (Group) Publishers", "{} Verlag Haus", "Other {} Books"]
     house = lambda k: F.get(F.array(*(F.concat(F.lit(f.split("{}")[0] + "House"), F.lpad(key, 6, "0"), F.lit(f.split("{}")[1])) for f in forms)), (k % 7).cast("int"))
-    s = t("supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("House"), F.lpad(key, 6, "0"), F.lit(" Limited")).alias("own"), house(F.col("s_suppkey")).alias("other"))
-    o = s.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("other").alias("theirs"))
-    met = s.withColumnRenamed("s_suppkey", "a").join(o, "s_nationkey")
-    return met.select("a", "b", readings.same_publisher(F.col("own"), F.col("theirs")).alias("same"))
+    # Houses are read row by row, their pairs only compare what was read.
+    own = F.concat(F.lit("House"), F.lpad(key, 6, "0"), F.lit(" Limited"))
+    side = lambda name, value, as_: t("supplier").select("s_nationkey", F.col("s_suppkey").alias(name), readings.publisher_traits(value).alias(as_))
+    met = joins.dealt_join(side("a", own, "own"), side("b", house(F.col("s_suppkey")), "theirs"), ["s_nationkey"])
+    return met.select("a", "b", readings.equal_publishers(F.col("own"), F.col("theirs")).alias("same"))
 
 
 @query("""
