@@ -302,10 +302,8 @@ def author_overlaps(t):
     """Shared names over the longer list."""
     from quire.functions.decisions import author_overlap
 
-    s = t("supplier").select("s_suppkey", "s_nationkey", F.split(F.lower("s_name"), "0").alias("la"))
-    o = s.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("la").alias("lb"))
-    met = s.withColumnRenamed("s_suppkey", "a").join(o, "s_nationkey").where("a < b")
-    return met.select("a", "b", F.round(author_overlap(F.col("la"), F.col("lb")), 6).alias("overlap"))
+    s = t("supplier").select("s_suppkey", "s_nationkey", F.split(F.lower("s_name"), "0").alias("names"))
+    return joins.class_pairs(s, ["s_nationkey"], "names", "s_suppkey", F.array_distinct("names"), author_overlap).select("a", "b", F.round("score", 6).alias("overlap"))
 
 
 @query("""
