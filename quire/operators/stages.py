@@ -46,12 +46,12 @@ def search_passes(documents: DataFrame, answers: DataFrame, key: str, passes: Se
     Each pass is a name and a condition on answers; documents that an earlier
     pass has answered are left out of later ones.
     """
-    open_, out = documents.select(key), None
-    for name, condition in passes:
-        found = answers.where(condition).join(open_, key, "left_semi").groupBy(key).agg(F.min("answer").alias("answer")).withColumn("pass", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-        open_ = open_.join(found, key, "left_anti")
-    return out
+    # One pass over the answers: the least of each pass that has any, of which the first counts. Buffers are plain numbers where answers are.
+    least = [F.min(F.when(c, F.col("answer"))).alias(f"_a{i}") for i, (_, c) in enumerate(passes)]
+    any_ = [F.max(F.coalesce(c, F.lit(False))).alias(f"_h{i}") for i, (_, c) in enumerate(passes)]
+    by = answers.groupBy(key).agg(*least, *any_).where(F.greatest(F.lit(False), *(F.col(f"_h{i}") for i in range(len(passes)))))
+    first = F.coalesce(*(F.when(F.col(f"_h{i}"), F.struct(F.col(f"_a{i}").alias("answer"), F.lit(name).alias("pass"))) for i, (name, _) in enumerate(passes)))
+    return by.join(documents.select(key), key, "left_semi").select(key, first.alias("_f")).select(key, "_f.answer", "_f.pass")
 
 
 def guarded_calls(attempts: DataFrame, key: str, order: str, kind: str) -> DataFrame:
