@@ -32,8 +32,8 @@ def page_role(text: Column) -> Column:
 
 def lines_of(pages: DataFrame) -> DataFrame:
     """doc_id, page, row, rows and line of every line that isn't blank."""
-    each = pages.select("doc_id", "page", F.posexplode(F.filter(F.transform(F.split(blank(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("row", "line"))
-    return each.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page")))
+    kept = pages.select("doc_id", "page", F.filter(F.transform(F.split(blank(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("_kept"))
+    return kept.select("doc_id", "page", F.size("_kept").alias("rows"), F.posexplode("_kept").alias("row", "line")).select("doc_id", "page", "row", "line", "rows")
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
@@ -59,21 +59,21 @@ def folio_run(pages: DataFrame) -> DataFrame:
     return keep_latest(runs, ["doc_id"], F.col("length").desc(), F.col("first"), F.col("offset")).select("doc_id", "offset", "first", "last")
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """doc_id, page and role, references carried on to the body pages that follow without a gap."""
-    own = pages.select("doc_id", "page", page_role(F.col("text")).alias("own"))
+def roles(pages: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, page, role and the ``carried`` columns, references carried on to the body pages that follow without a gap."""
+    own = pages.select("doc_id", "page", *carried, page_role(F.col("text")).alias("own"))
     w = Window.partitionBy("doc_id").orderBy("page")
     gap = F.col("page") - F.lag("page").over(w) != 1
     starts = F.coalesce(gap, F.lit(True)) | ~F.col("own").isin("body", "references")
     block = own.withColumn("_starts", starts.cast("int")).withColumn("_block", F.sum("_starts").over(w))
     seen = F.max((F.col("own") == "references").cast("int")).over(Window.partitionBy("doc_id", "_block").orderBy("page"))
     role = F.when((F.col("own") == "body") & (seen == 1), "references").otherwise(F.col("own"))
-    return block.select("doc_id", "page", role.alias("role"))
+    return block.select("doc_id", "page", role.alias("role"), *carried)
 
 
 def document_title(pages: DataFrame, longest: int = 300) -> DataFrame:
     """The first line of a document's first telling page that is no running line, folio or label."""
-    lines = lines_of(pages).join(roles(pages), ["doc_id", "page"]).where(F.col("role").isin("body", "abstract"))
+    lines = lines_of(roles(pages, "text").where(F.col("role").isin("body", "abstract")))
     running = running_lines(pages).select("doc_id", F.regexp_replace("line", "^(?:head|foot):", "").alias("_key")).distinct()
     keyed = lines.withColumn("_key", F.trim(F.regexp_replace(F.lower("line"), r"\d+", "#")))
     named = keyed.where(F.col("line").rlike(r"\p{L}{2}") & (F.char_length("line") <= longest) & ~F.col("line").rlike(r"(?i)^(?:abstract|vol\.?|no\.?|issn|doi)\b|[:：]$"))
