@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.basics import blank, digit_sum, let
+from quire.functions.basics import blank, digit_sum, let, let_both
 
 
 def raw_doi(value: Column) -> Column:
@@ -36,9 +36,10 @@ def doi_boundary_ambiguous(value: Column) -> Column:
 
 
 def _agreement(page: Column, record: Column, unclear: Column) -> Column:
-    return (
-        F.when((page == "") | (record == ""), "missing").when(page == record, "exact").when(unclear, "ambiguous").otherwise("differs")
-    )
+    def of(p: Column, r: Column) -> Column:
+        return F.when((p == "") | (r == ""), "missing").when(p == r, "exact").when(unclear, "ambiguous").otherwise("differs")
+
+    return let_both(page, record, of)
 
 
 def compare_doi(on_page: Column, in_record: Column) -> Column:
