@@ -161,6 +161,6 @@ def evaluated_rows(t):
     text = F.when(k == 1, F.concat(F.lit("A new title "), F.col("key").cast("string"))).otherwise("nothing of it")
     judged = records.verify(changes, text, F.when(k == 0, F.lit("Third title")), F.lit(False))
     counts = judged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "verified").alias("verified"), F.count_if(F.col("level") == "conflicting").alias("conflicting"))
-    rows = t("orders").select(key.alias("key")).join(counts, "key", "left").fillna(0)
+    rows = t("orders").select(key.alias("key")).join(counts.hint("merge"), "key", "left").fillna(0)
     status = F.when(F.col("conflicting") > 0, "mismatch").when(F.col("n") == 0, "noChanges").when(F.col("verified") == F.col("n"), "ready").otherwise("review")
     return rows.select("key", status.alias("status"), F.col("n").cast("int").alias("changes"))
