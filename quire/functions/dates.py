@@ -55,12 +55,17 @@ def _table(values: dict) -> Column:
 
 def _classed(token: Column) -> Column:
     """A token with its class, and with its number if it is one or names a month."""
-    month = F.try_element_at(_table(MONTHS), token)
-    number = token.try_cast("int")
-    kind = (
-        F.when(token.rlike(r"^\d{4}$"), "Y").when(token.rlike(r"^\d{1,2}$"), "N").when(month.isNotNull(), "A").otherwise(F.coalesce(F.try_element_at(_table(CLASSES), token), F.lit("x")))
-    )
-    return F.struct(kind.alias("kind"), F.coalesce(month, number).alias("n"))
+    # A lookup goes through its whole table, so only words are looked up, once each.
+    word = token.rlike(r"^\p{L}{3,}$")
+
+    def of(month: Column) -> Column:
+        kind = (
+            F.when(month.isNotNull(), "A").when(token.rlike(r"^\d{4}$"), "Y").when(token.rlike(r"^\d{1,2}$"), "N").when(token.rlike(r"^\d"), "x")
+            .otherwise(F.coalesce(F.try_element_at(_table(CLASSES), token), F.lit("x")))
+        )
+        return F.struct(kind.alias("kind"), F.coalesce(month, token.try_cast("int")).alias("n"))
+
+    return let(F.when(word, F.try_element_at(_table(MONTHS), token)), of)
 
 
 def canonical_date(value: Column) -> Column:
@@ -73,12 +78,19 @@ def canonical_date(value: Column) -> Column:
             return F.transform(F.filter(found, lambda t: t["kind"] == kind), lambda t: t["n"])
 
         shape = F.array_join(F.transform(found, lambda t: t["kind"]), "")
-        small, named, year = numbers("N"), F.get(numbers("A"), 0), F.get(numbers("Y"), 0)
-        month = F.coalesce(named, F.get(small, 0))
-        day = F.when(named.isNotNull(), F.get(small, 0)).otherwise(F.get(small, 1))
-        written = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-        real = month.isNull() | F.when(day.isNull(), month.between(1, 12)).otherwise(is_real_date(year, month, day))
-        return F.when(shape.rlike("^(?:" + "|".join(SHAPES) + ")$") & real, written)
+        parts = F.struct(numbers("N").alias("small"), F.get(numbers("A"), 0).alias("named"), F.get(numbers("Y"), 0).alias("year"))
+
+        def fields(p: Column) -> Column:
+            small, named = p["small"], p["named"]
+            day = F.when(named.isNotNull(), F.get(small, 0)).otherwise(F.get(small, 1))
+            return F.struct(p["year"].alias("year"), F.coalesce(named, F.get(small, 0)).alias("month"), day.alias("day"))
+
+        def written(p: Column) -> Column:
+            year, month, day = p["year"], p["month"], p["day"]
+            real = month.isNull() | F.when(day.isNull(), month.between(1, 12)).otherwise(is_real_date(year, month, day))
+            return F.when(real, F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))
+
+        return F.when(shape.rlike("^(?:" + "|".join(SHAPES) + ")$"), let(let(parts, fields), written))
 
     return let(tokens, of)
 
